@@ -75,11 +75,11 @@ def priced_chunks_only(chunks: DataFrame) -> DataFrame:
 # Price bands
 
 
-def sort_by_price(hits: DataFrame) -> DataFrame:
+def sort_by_price(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Place of each priced hit of a query by price, equal prices keeping their
     rank order, and the number of hits. A query has at most as many hits as its
     search limit asked for."""
-    by_query = Window.partitionBy("query_id")
+    by_query = Window.partitionBy(*keys)
     return hits.withColumns(
         {
             "price_pos": (F.row_number().over(by_query.orderBy("price", "rank")) - 1).cast("bigint"),
@@ -88,25 +88,31 @@ def sort_by_price(hits: DataFrame) -> DataFrame:
     )
 
 
-def price_band(hits: DataFrame, flag: str = "flag", search_limit: str = "search_limit") -> DataFrame:
+def price_band(
+    hits: DataFrame, flag: str = "flag", search_limit: str = "search_limit", keys: tuple[str, ...] = ("query_id",)
+) -> DataFrame:
     """Slice of the price-sorted hits: flag 1 the cheapest, 2 the middle, 3 the
     dearest; the slice is taken by the padded search limit, not by the number
     found, with list-slice rules for bounds below zero. Other flags give nothing."""
-    flag, limit = F.col(flag), F.col(search_limit)
-    half = fn_floor_div(limit, F.lit(2))
-    start = F.when(flag == 1, F.lit(0)).when(flag == 2, half - HALF_BAND).when(flag == 3, limit - BAND)
-    end = F.when(flag == 1, F.lit(BAND)).when(flag == 2, half + HALF_BAND).when(flag == 3, limit - 1)
-    return sort_by_price(hits).filter(fn_slice(F.col("price_pos"), F.col("n_hits"), start, end))
+    limit = F.col(search_limit)
+    bounds = _bounds(F.col(flag), limit, limit - 1)
+    return sort_by_price(hits, keys).filter(fn_slice(F.col("price_pos"), F.col("n_hits"), *bounds))
 
 
-def price_band_found(hits: DataFrame, flag: str = "flag") -> DataFrame:
+def price_band_found(hits: DataFrame, flag: str = "flag", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The same bands taken by the number of hits found: the first 15, the 14
     around the middle, the last 15, as far as there are that many."""
-    flag, n, pos = F.col(flag), F.col("n_hits"), F.col("price_pos")
-    half = fn_floor_div(n, F.lit(2))
-    start = F.when(flag == 1, F.lit(0)).when(flag == 2, half - HALF_BAND).when(flag == 3, n - BAND)
-    end = F.when(flag == 1, F.lit(BAND)).when(flag == 2, half + HALF_BAND).when(flag == 3, n)
-    return sort_by_price(hits).filter((pos >= F.greatest(F.lit(0), start)) & (pos < end))
+    n, pos = F.col("n_hits"), F.col("price_pos")
+    start, end = _bounds(F.col(flag), n, n)
+    return sort_by_price(hits, keys).filter((pos >= F.greatest(F.lit(0), start)) & (pos < end))
+
+
+def _bounds(flag: Column, length: Column, dear_end: Column) -> tuple[Column, Column]:
+    """Start and end of the band in a list of the given length."""
+    half = fn_floor_div(length, F.lit(2))
+    start = F.when(flag == 1, F.lit(0)).when(flag == 2, half - HALF_BAND).when(flag == 3, length - BAND)
+    end = F.when(flag == 1, F.lit(BAND)).when(flag == 2, half + HALF_BAND).when(flag == 3, dear_end)
+    return start, end
 
 
 # Descriptions
@@ -151,9 +157,10 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
     """(request_id, ids array<bigint>) to one row per id in the given order; an
     unknown id keeps its place with an empty text.
 
-    The size of a request comes from its array, so no group is formed. No more
-    of a description than decides its shortening goes into the join. An id that
-    a large share of all requests asks for is split by AQE.
+    The size of a request comes from its array, so no group is formed. Goods
+    nobody asks for are left behind by a semi join, which needs no shuffle while
+    the ids are few, and no more of a description than decides its shortening
+    goes on. An id that a large share of all requests asks for is split by AQE.
     """
     asked = requests.select("request_id", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("pos", "good_id"))
     parts = _priced_as_text(goods).select(
@@ -165,7 +172,8 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
         fn_head(F.col("description"), ONE_ID_LENGTH + 1).alias("description"),
         F.lit(True).alias("known"),
     )
-    shortened = clamp_by_request_size(asked.join(parts, "good_id", "left_outer"))
+    needed = parts.join(asked.select("good_id").distinct(), "good_id", "left_semi")
+    shortened = clamp_by_request_size(asked.join(needed, "good_id", "left_outer"))
     return shortened.select(
         "request_id",
         "pos",

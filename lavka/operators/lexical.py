@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavka.operators.ranking import k_best, score_corpus
-from lavka.operators.scoring import BestHits, TermScores
+from lavka.operators.ranking import best_hits, k_best
+from lavka.operators.scoring import TermScores
 
 RRF_CONSTANT = 60
 LIST_LENGTH = 50  # hits per list that enter a fusion
@@ -21,14 +21,28 @@ def tokens(text: Column) -> Column:
 
 def static_chunking(docs: DataFrame, size: int = 800, overlap: int = 200) -> DataFrame:
     """(doc_id, text) to overlapping pieces of fixed size that cover the whole
-    text. chunk_id is doc_id x 2^20 + chunk number."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - overlap), F.lit(size - overlap))
-    pieces = docs.filter(F.length("text") > 0).select("doc_id", "text", F.posexplode(starts).alias("chunk_no", "start"))
+    text. chunk_id is doc_id x 2^20 + chunk number.
+
+    The text is cut into steps in one pass, and each chunk is a step with the
+    head of the next, so the work is linear in the length of the text.
+    """
+    step = size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("the overlap may take up at most half of a chunk")
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    paired = F.arrays_zip(F.col("steps"), F.slice("steps", 2, F.greatest(F.lit(1), F.size("steps"))).alias("next"))
+    pieces = (
+        docs.filter(F.length("text") > 0)
+        .select("doc_id", steps.alias("steps"))
+        .select("doc_id", F.posexplode(paired).alias("chunk_no", "piece"))
+        .filter((F.col("chunk_no") == 0) | (F.length("piece.steps") > overlap))
+    )
+    following = F.coalesce(F.left("piece.next", F.lit(overlap)), F.lit(""))
     return pieces.select(
         (F.shiftleft("doc_id", 20) + F.col("chunk_no")).alias("chunk_id"),
         "doc_id",
         F.col("chunk_no").cast("int").alias("chunk_no"),
-        F.substring("text", F.col("start"), F.lit(size)).alias("content"),
+        F.concat("piece.steps", following).alias("content"),
     )
 
 
@@ -40,9 +54,9 @@ def _weighted_queries(queries: DataFrame, corpus: DataFrame, kinds: tuple[str, .
     """(query_id, text) to one row per query and kind of ranking with its terms,
     their idf-weighted counts and the corpus mean length.
 
-    Only terms of the queries are counted in the corpus, with the counts
-    combined inside each task, so a term of every chunk costs no more than
-    a rare one. Terms that no chunk holds take no part.
+    Terms are counted before they are joined, each task combining its own, so
+    a term of every chunk costs no more than a rare one. Terms that no chunk
+    holds take no part.
     """
     asked = (
         queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
@@ -50,7 +64,7 @@ def _weighted_queries(queries: DataFrame, corpus: DataFrame, kinds: tuple[str, .
         .agg(F.count("*").alias("times"))
     )
     seen = corpus.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    found = seen.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    found = seen.groupBy("term").agg(F.count("*").alias("df"))
     totals = corpus.agg(
         F.struct(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_size")).alias("totals")
     )
@@ -76,7 +90,7 @@ def _ranked(
     from one scan of the corpus after the one that counts the terms."""
     corpus, keys = _tokenised(chunks), ("query_id", "kind")
     weighted = _weighted_queries(queries, corpus, kinds, k)
-    return k_best(score_corpus(weighted, corpus, partial(TermScores, k1=k1, b=b), BestHits, keys, **bounds), keys)
+    return best_hits(weighted, corpus, partial(TermScores, k1=k1, b=b), keys, **bounds)
 
 
 def lexical_bm25(

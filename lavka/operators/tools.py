@@ -14,6 +14,7 @@ from lavka.functions.text import fn_args_from_json, sanitize_ids, search_pad
 from lavka.operators.goods import chunk_price_extract, descriptions_by_ids, price_band, priced_chunks_only
 from lavka.operators.lexical import hybrid_search
 from lavka.operators.ranking import vector_topk_batch, with_content
+from lavka.session import shared_folder
 
 # Tool names with their short forms, search presets, round limit, messages.
 DESC_TOOL, SEARCH_TOOL, PRICE_TOOL = "GetDescriptionsByIds", "GoodsVectorSearch", "FindCheapExpensiveMiddleGoods"
@@ -139,25 +140,33 @@ def tool_vector_search(calls: DataFrame, collections: dict[str, DataFrame], quer
         _search(asked.filter(F.col("database_name") == name), collection, query_vectors)
         for name, collection in collections.items()
     ]
-    return _listed(calls, reduce(DataFrame.unionByName, found), F.struct("rank", "content"))
+    return _with_goods(calls, _best_first(reduce(DataFrame.unionByName, found)))
 
 
 def tool_price_band(calls: DataFrame, collection: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """(CALL, vec_query, flag, search_limit) to the goods of the price band with
     their prices, cheapest first."""
     asked = calls.withColumn("k", search_pad(F.col("search_limit")))
-    return _listed(calls, _band(_search(asked, collection, query_vectors)), F.struct("price_pos", "content", "price"))
+    return _with_goods(calls, _cheapest_first(_search(asked, collection, query_vectors)))
 
 
-def _band(hits: DataFrame) -> DataFrame:
-    priced = priced_chunks_only(chunk_price_extract(hits)).withColumn("query_id", F.struct(*CALL))
-    return price_band(priced, search_limit="k")
+def _best_first(hits: DataFrame) -> DataFrame:
+    return _listed(hits, F.struct("rank", "content"))
 
 
-def _listed(calls: DataFrame, hits: DataFrame, item: Column) -> DataFrame:
+def _cheapest_first(hits: DataFrame) -> DataFrame:
+    band = price_band(priced_chunks_only(chunk_price_extract(hits)), search_limit="k", keys=CALL)
+    return _listed(band, F.struct("price_pos", "content", "price"))
+
+
+def _listed(hits: DataFrame, item: Column) -> DataFrame:
     """One row per call with its hits in order; a call asked for as many as its
     own limit, which bounds the list."""
-    goods = hits.groupBy(*CALL).agg(F.array_sort(F.collect_list(item)).alias("goods"))
+    return hits.groupBy(*CALL).agg(F.array_sort(F.collect_list(item)).alias("goods"))
+
+
+def _with_goods(calls: DataFrame, goods: DataFrame) -> DataFrame:
+    """Every call, those without hits having null goods."""
     return calls.select(*CALL).join(goods, list(CALL), "left_outer")
 
 
@@ -168,63 +177,70 @@ def tool_search_text(calls: DataFrame, docs: DataFrame, k: int = 5, **options) -
     return hits.join(queries.drop("text"), "query_id").select(*CALL, "rank", F.col("id").alias("chunk_id"), "score")
 
 
-def _text_list(items: Column) -> Column:
-    return F.coalesce(F.to_json(items), F.lit("[]"))
-
-
 def _pair_list(goods: Column) -> Column:
     """``[[content, price], ...]`` as JSON text."""
     pair = lambda g: F.concat(F.rtrim(F.to_json(F.array(g["content"])), F.lit("]")), F.lit(","), g["price"], F.lit("]"))
     return F.concat(F.lit("["), F.array_join(F.transform(goods, pair), ","), F.lit("]"))
 
 
+def checked_calls(calls: DataFrame, collections: list[str]) -> DataFrame:
+    """Parsed calls with ``problem``, the error text of a call that cannot run."""
+    name = F.col("name")
+    given = {tool: F.lit(True) for tool in SHORT_NAMES}
+    needed = {
+        DESC_TOOL: ("ids",),
+        SEARCH_TOOL: ("vec_query", "database_name", "search_limit"),
+        PRICE_TOOL: ("vec_query", "flag", "search_limit"),
+    }
+    for tool, columns in needed.items():
+        for column in columns:
+            given[tool] = given[tool] & F.col(column).isNotNull()
+    problem = F.when(name.isNull() | ~name.isin(*SHORT_NAMES), F.lit(UNKNOWN_TOOL))
+    for tool, complete in given.items():
+        problem = problem.when((name == tool) & ~complete, F.lit(f"ValidationError({tool})"))
+    unknown = (name == SEARCH_TOOL) & ~F.col("database_name").isin(collections)
+    return parsed_calls(calls).withColumn("problem", problem.when(unknown, F.lit("UnknownCollection()")))
+
+
 def tool_call_batch(
     calls: DataFrame, goods: DataFrame, collections: dict[str, DataFrame], query_vectors: DataFrame
 ) -> DataFrame:
     """Run a log of calls: (CALL, name, content) with one JSON result per call.
-    Bad arguments, unknown tools and unknown collections become error results."""
-    parsed = parsed_calls(calls)
-    name = F.col("name")
-    needs = {
-        DESC_TOOL: F.col("ids").isNotNull(),
-        SEARCH_TOOL: F.col("vec_query").isNotNull()
-        & F.col("database_name").isNotNull()
-        & F.col("search_limit").isNotNull(),
-        PRICE_TOOL: F.col("vec_query").isNotNull() & F.col("flag").isNotNull() & F.col("search_limit").isNotNull(),
-    }
-    problem = F.lit(UNKNOWN_TOOL)
-    for tool, complete in needs.items():
-        problem = F.when(name == tool, F.when(~complete, F.lit(f"ValidationError({tool})"))).otherwise(problem)
-    missing = (name == SEARCH_TOOL) & ~F.col("database_name").isin(list(collections))
-    problem = F.coalesce(problem, F.when(missing, F.lit("UnknownCollection()")))
-    checked = parsed.withColumn("problem", F.when(name.isNull(), F.lit(UNKNOWN_TOOL)).otherwise(problem))
-    good = checked.filter("problem is null")
-
-    def of(tool: str) -> DataFrame:
-        return good.filter(name == tool)
-
-    def result(rows: DataFrame, tool: str, content: Column) -> DataFrame:
-        return rows.select(*CALL, F.lit(tool).alias("name"), content.alias("content"))
-
-    described = result(
-        tool_get_descriptions(of(DESC_TOOL), goods),
-        DESC_TOOL,
-        F.to_json(F.struct("status", "message", "descriptions")),
+    Bad arguments, unknown tools and unknown collections become error results.
+
+    The checked log is written to the shared folder once, as every kind of call
+    reads it. Searches and price bands on one collection share its scan.
+    """
+    path = shared_folder(calls.sparkSession, "calls")
+    checked_calls(calls, list(collections)).write.parquet(path)
+    checked = calls.sparkSession.read.parquet(path)
+    good, name = checked.filter("problem is null"), F.col("name")
+
+    banded = name == PRICE_TOOL
+    asked = good.filter(name.isin(SEARCH_TOOL, PRICE_TOOL)).select(
+        *CALL,
+        "name",
+        "vec_query",
+        "flag",
+        F.when(banded, BRIEF_COLLECTION).otherwise(F.col("database_name")).alias("database_name"),
+        F.when(banded, search_pad(F.col("search_limit"))).otherwise(F.col("search_limit")).alias("k"),
+    )
+    hits = reduce(
+        DataFrame.unionByName,
+        [_search(asked.filter(F.col("database_name") == c), rows, query_vectors) for c, rows in collections.items()],
+    )
+    searched = _best_first(hits.filter(name == SEARCH_TOOL)).select(
+        *CALL, F.to_json(F.transform("goods", lambda g: g["content"])).alias("list")
     )
-    searched = result(
-        tool_vector_search(of(SEARCH_TOOL), collections, query_vectors),
-        SEARCH_TOOL,
-        F.concat(F.lit('{"goods":'), _text_list(F.transform("goods", lambda g: g["content"])), F.lit("}")),
+    banded_goods = _cheapest_first(hits.filter(name == PRICE_TOOL)).select(*CALL, _pair_list(F.col("goods")).alias("list"))
+    nothing = F.when(banded & ~F.col("flag").isin(1, 2, 3), "null").otherwise("[]")
+    found = asked.join(searched.unionByName(banded_goods), list(CALL), "left_outer").select(
+        *CALL, "name", F.concat(F.lit('{"goods":'), F.coalesce("list", nothing), F.lit("}")).alias("content")
     )
-    price_calls = of(PRICE_TOOL)
-    banded = tool_price_band(price_calls, collections[BRIEF_COLLECTION], query_vectors)
-    pairs = F.coalesce(_pair_list(F.col("goods")), F.when(F.col("flag").isin(1, 2, 3), "[]").otherwise("null"))
-    priced = result(
-        banded.join(price_calls.select(*CALL, "flag"), list(CALL)),
-        PRICE_TOOL,
-        F.concat(F.lit('{"goods":'), pairs, F.lit("}")),
+    described = tool_get_descriptions(good.filter(name == DESC_TOOL), goods).select(
+        *CALL, F.lit(DESC_TOOL).alias("name"), F.to_json(F.struct("status", "message", "descriptions")).alias("content")
     )
     failed = checked.filter("problem is not null").select(
         *CALL, "name", F.to_json(F.struct(F.col("problem").alias("error"))).alias("content")
     )
-    return described.unionByName(searched).unionByName(priced).unionByName(failed)
+    return found.unionByName(described).unionByName(failed)

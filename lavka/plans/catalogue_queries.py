@@ -24,7 +24,7 @@ PAGE_SELECTORS = {"title": ("title", None, None), "code": ("h1", None, None), "p
     trim(replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;', '&')) AS price FROM pages"""
 )
 def product_fields(spark, sf_dir):
-    return ops.product_fields(table(spark, sf_dir, "pages"), PAGE_SELECTORS)
+    return ops.product_fields(table(spark, sf_dir, "pages", heavy=True), PAGE_SELECTORS)
 
 
 @query(

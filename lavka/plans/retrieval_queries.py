@@ -21,7 +21,7 @@ RADIUS = 2
 
 
 def vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return table(spark, sf_dir, "embeddings", heavy=True).select(F.col("vec_id").alias("id"), "embedding")
 
 
 # Vector ranking
@@ -62,19 +62,15 @@ def vector_topk_batch(spark, sf_dir):
 
 
 @query(
-    """SELECT a.vec_id AS id, b.query_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.qvec AS DOUBLE[])), 6) AS score,
-    CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.qvec AS DOUBLE[])), 6) DESC, a.vec_id) AS INTEGER) AS rank
-    FROM embeddings a JOIN queries b ON b.query_id = a.label""",
+    """SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+    FROM (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score
+    FROM queries, embeddings)) WHERE rank <= 10""",
     "queries",
 )
 def hit_rank(spark, sf_dir):
-    """Vectors of each label ranked against the query numbered like the label."""
-    labelled = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), "embedding", F.col("label").cast("bigint").alias("query_id")
-    )
-    pairs = labelled.join(views.queries(spark, sf_dir).select("query_id", "qvec"), "query_id")
-    scored = pairs.select("id", "query_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
-    return ranking.hit_rank(scored)
+    """Places within the ten nearest vectors of each query."""
+    hits = ranking.vector_topk_batch(views.queries(spark, sf_dir), vectors(spark, sf_dir), 10)
+    return ranking.hit_rank(hits.drop("rank"))
 
 
 def _bucket_sql(vector: str) -> str:
@@ -105,7 +101,7 @@ def ann_search(spark, sf_dir):
 
 @query("SELECT chunk_id, doc_id, chunk_no, content FROM chunks", "chunks")
 def static_chunking(spark, sf_dir):
-    return lexical.static_chunking(table(spark, sf_dir, "documents"))
+    return lexical.static_chunking(table(spark, sf_dir, "documents", heavy=True))
 
 
 @query("SELECT query_id, id, score, rank FROM bm25_hits", "bm25_hits")
@@ -143,7 +139,7 @@ def hybrid_top5(spark, sf_dir):
 
 @query(TOP5, "fused")
 def hybrid_search(spark, sf_dir):
-    return lexical.hybrid_search(views.text_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return lexical.hybrid_search(views.text_queries(spark, sf_dir), table(spark, sf_dir, "documents", heavy=True))
 
 
 # Price bands
@@ -399,7 +395,7 @@ def tool_search_text(spark, sf_dir):
     asked = views.text_queries(spark, sf_dir).select(
         F.col("query_id").alias("conv_id"), F.lit(1).alias("round"), F.lit(0).alias("call_idx"), "text"
     )
-    return tools.tool_search_text(asked, table(spark, sf_dir, "documents"))
+    return tools.tool_search_text(asked, table(spark, sf_dir, "documents", heavy=True))
 
 
 @query(

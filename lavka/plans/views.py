@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lavka.functions.text import fn_concat, fn_number_to_text
 from lavka.operators import catalogue, goods as goods_ops
+from lavka.sources.tables import spread_small
 from lavka.operators.tools import BRIEF_COLLECTION, DESC_TOOL, FULL_COLLECTION, PRICE_TOOL, SEARCH_TOOL
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -39,8 +40,22 @@ def view(text: str, *needs: str):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Schemas of the given tables, so that opening one reads no file.
+SCHEMAS = {
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; one that heavy work per row follows is dealt out evenly
+    where it has few splits."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if heavy else rows
 
 
 def text(c: str | Column) -> Column:
@@ -59,8 +74,8 @@ def json_text(c: Column) -> Column:
     'Размер: ' || CAST(p_size AS VARCHAR) AS characteristics, text AS description
     FROM part LEFT JOIN documents ON doc_id = p_partkey"""
 )
-def goods(spark, sf_dir):
-    part, docs = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents").select("doc_id", "text")
+def goods(spark, sf_dir, heavy=False):
+    part, docs = table(spark, sf_dir, "part", heavy), table(spark, sf_dir, "documents").select("doc_id", "text")
     return part.join(docs, part.p_partkey == docs.doc_id, "left_outer").select(
         F.col("p_partkey").alias("good_id"),
         F.col("p_name").alias("title"),
@@ -295,7 +310,7 @@ def product_pages(spark, sf_dir):
         F.lit("<p>footer</p></body></html>"),
     )
     url = F.concat(F.lit("https://shop.example/goods/"), text("good_id"), F.lit("/"))
-    pages = goods(spark, sf_dir).filter("sub <> 'Brand#13'")
+    pages = goods(spark, sf_dir, heavy=True).filter("sub <> 'Brand#13'")
     return pages.select(F.col("good_id").alias("page_id"), url.alias("url"), html.alias("html"))
 
 

@@ -13,6 +13,17 @@ ABOUT_GOODS = ("good_id", "title", "code", "price", "characteristics", "descript
 OUTLINE_LINE = r"^((?:___\s+)*)(cat|subcat|subsubcat)\s+(.*?)\s*(?:(\([^()]*\))\s*)?\s(\d+)\w*\s*(\(.*\))?\s*$"
 
 
+FEW_SPLITS = 64
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than the cluster has cores, dealt out over
+    them. Only a scan of few splits, some gigabytes at most, is ever moved; a
+    large one is already spread and left alone."""
+    tasks = min(scan.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+
+
 def scan_goods_sheet(
     spark: SparkSession,
     path: str,
