@@ -187,14 +187,14 @@ def read_products(batches: Iterator[pd.DataFrame], selectors: dict) -> Iterator[
         yield batch.drop(columns="html").assign(**{name: [row[name] for row in rows] for name in names})
 
 
-def read_menus(batches: Iterator[pd.DataFrame], *classes: str) -> Iterator[pd.DataFrame]:
+def read_menus(batches: Iterator[pd.DataFrame], **classes: str) -> Iterator[pd.DataFrame]:
     """(page_id, html) to one row per owner and link, a pair kept at its first place."""
     names = ["page_id", "ancestor_path", "href", "text", "depth", "pos"]
     for batch in batches:
         rows = []
         for page_id, html in zip(batch["page_id"], batch["html"]):
             seen = set()
-            for owner, href, node, depth, pos in MenuWalker(*classes).read(html or "").rows:
+            for owner, href, node, depth, pos in MenuWalker(**classes).read(html or "").rows:
                 if (owner, href, node.text()) not in seen:
                     seen.add((owner, href, node.text()))
                     rows.append((page_id, owner, href, node.text(), depth, pos))

@@ -44,9 +44,8 @@ def fn_number_to_text(c: Column) -> Column:
     plain = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     digits = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
     power = F.substring_index(s, "E", -1).try_cast("int")
-    exponent = F.concat(
-        digits, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0")
-    )
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    exponent = F.concat(digits, sign, F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     return (
         F.when(d.isNull() | F.isnan(d), F.lit("nan"))
         .when(s.endswith("Infinity"), F.replace(s, F.lit("Infinity"), F.lit("inf")))

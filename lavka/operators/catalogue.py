@@ -137,14 +137,10 @@ def submenu_links(
     link_class: str = SUBMENU_CLASS,
 ) -> DataFrame:
     """Links at any depth below each menu entry, one row per owner and link."""
-    walk = partial(_menus, classes=(menu_class, list_class, link_class))
+    walk = partial(html_pass.read_menus, menu_class=menu_class, list_class=list_class, link_class=link_class)
     return pages.select("page_id", "html").mapInPandas(walk, _MENU_SCHEMA)
 
 
-def _menus(batches, classes):
-    return html_pass.read_menus(batches, *classes)
-
-
 # Category tree
 
 

@@ -181,3 +181,8 @@ def score_blocks(
         at, values = kept.rows()
         keys = [block[name].combine_chunks().take(pa.array(at)) for name in schema.names[: -len(values)]]
         yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], schema=schema)
+
+
+def score_pair(run: Callable, schema: pa.Schema, queries: pa.Table, corpus: pa.Table) -> pa.Table:
+    """One block of queries with one block of the corpus."""
+    return pa.Table.from_batches(list(run(queries, corpus.to_batches())), schema=schema)

@@ -14,10 +14,8 @@ from lavka.plans.registry import query
 from lavka.plans.views import table
 from lavka.session import shared_folder
 
-# A fixed query vector and the planes of the approximate layout.
+# A fixed query vector.
 QUERY_VECTOR = [round(math.cos(i * i), 4) for i in range(64)]
-PLANES = ranking.sign_planes(64, 6)
-RADIUS = 2
 
 
 def vectors(spark, sf_dir):
@@ -73,27 +71,37 @@ def hit_rank(spark, sf_dir):
     return ranking.hit_rank(hits.drop("rank"))
 
 
-def _bucket_sql(vector: str) -> str:
-    sides = [
-        f"CASE WHEN list_dot_product(CAST({vector} AS DOUBLE[]), CAST({plane} AS DOUBLE[])) > 0 THEN {1 << bit} ELSE 0 END"
-        for bit, plane in enumerate(PLANES)
-    ]
-    return " + ".join(sides)
+views.SQL["centres"] = (
+    (),
+    """SELECT label, list(x ORDER BY place) AS centre FROM (SELECT label, place, avg(x) AS x FROM (
+    SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS place FROM embeddings)
+    GROUP BY label, place) GROUP BY label""",
+)
+NEAREST = """SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, label) AS nth FROM (
+    SELECT {key}, {vector}, label, round(list_dot_product(CAST({vector} AS DOUBLE[]), centre) / sqrt(list_dot_product(centre, centre)), 6) AS score
+    FROM (SELECT {key}, {vector} FROM {table}), centres)"""
 
 
 @query(
     f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score,
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
     SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score
-    FROM (SELECT query_id, qvec, {_bucket_sql('qvec')} AS qb FROM queries) q,
-    (SELECT vec_id, embedding, {_bucket_sql('embedding')} AS eb FROM embeddings) e WHERE bit_count(xor(qb, eb)) <= {RADIUS}))
-    WHERE rank <= 10""",
+    FROM ({NEAREST.format(key='query_id', vector='qvec', table='queries')}) q
+    JOIN ({NEAREST.format(key='vec_id', vector='embedding', table='embeddings')}) e
+    ON q.label = e.label AND q.nth <= 4 AND e.nth = 1)) WHERE rank <= 10""",
     "queries",
+    "centres",
 )
 def ann_search(spark, sf_dir):
+    """The mean vector of each label is a centre."""
+    rows = table(spark, sf_dir, "embeddings", heavy=True)
+    cells = rows.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
+    means = cells.groupBy("label", "place").agg(F.avg("x").alias("x")).groupBy("label")
+    listed = means.agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("c")).orderBy("label")
+    centres = [row.x for row in listed.select("c.x").collect()]  # one vector per label
     path = shared_folder(spark, "ann")
-    ranking.write_ann_layout(vectors(spark, sf_dir), path, PLANES)
-    return ranking.ann_search(views.queries(spark, sf_dir), spark.read.parquet(path), PLANES, 10, RADIUS)
+    ranking.write_ann_layout(vectors(spark, sf_dir), path, centres)
+    return ranking.ann_search(views.queries(spark, sf_dir), spark.read.parquet(path), centres, 10, 4)
 
 
 # Text ranking
