@@ -50,35 +50,47 @@ def _tokenised(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), tokens(F.col("content")).alias("tokens"))
 
 
+WHOLE = ""  # stands for the corpus itself among the counted terms, as no token is empty
+
+
 def _weighted_queries(queries: DataFrame, corpus: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
     """(query_id, text) to one row per query and kind of ranking with its terms,
     their idf-weighted counts and the corpus mean length.
 
-    Terms are counted before they are joined, each task combining its own, so
-    a term of every chunk costs no more than a rare one. Terms that no chunk
-    holds take no part.
+    One pass over the corpus counts all terms, the number of chunks and their
+    tokens. Terms are counted before they are joined, each task combining its
+    own, so a term of every chunk costs no more than a rare one. Terms that no
+    chunk holds take no part.
     """
+    whole = F.array(F.lit(WHOLE))
     asked = (
-        queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+        queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), whole)).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("times"))
     )
-    seen = corpus.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    found = seen.groupBy("term").agg(F.count("*").alias("df"))
-    totals = corpus.agg(
-        F.struct(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_size")).alias("totals")
+    counted = (
+        corpus.select(F.explode(F.concat(F.array_distinct("tokens"), whole)).alias("term"), F.size("tokens").alias("size"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("size").alias("total"))
     )
-    whole = F.col("totals.n")
-    terms = (
-        asked.join(found, "term")
-        .withColumn("totals", totals.scalar())
-        .withColumn("bm25", F.col("times") * F.log(1 + (whole - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("tfidf", (1 + F.log("times")) * F.log(1 + whole / F.col("df")))
+    own = F.col("term") != WHOLE
+    weighted = (
+        asked.join(counted, "term")
+        .groupBy("query_id")
+        .agg(
+            F.array_sort(F.collect_list(F.when(own, F.struct("term", "times", "df")))).alias("t"),  # one query's text
+            F.max(F.when(~own, F.col("df"))).alias("n"),
+            F.max(F.when(~own, F.col("total") / F.col("df"))).alias("mean_size"),
+        )
+        .filter(F.size("t") > 0)
     )
-    packed = F.array_sort(F.collect_list(F.struct("term", "bm25", "tfidf")))  # bounded by one query's text
-    whole_query = terms.groupBy("query_id").agg(packed.alias("t"), F.max("totals.mean_size").alias("mean_size"))
-    lists = F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(f"t.{x}").alias("weights")) for x in kinds]))
-    return whole_query.select("query_id", "mean_size", F.col("t.term").alias("terms"), lists.alias("list")).select(
+    n = F.col("n")
+    weights = {
+        "bm25": lambda t: t["times"] * F.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5)),
+        "tfidf": lambda t: (1 + F.log(t["times"])) * F.log(1 + n / t["df"]),
+    }
+    lists = [F.struct(F.lit(x).alias("kind"), F.transform("t", weights[x]).alias("weights")) for x in kinds]
+    return weighted.select("query_id", "mean_size", F.col("t.term").alias("terms"), F.explode(F.array(*lists)).alias("list")).select(
         "query_id", "list.kind", "terms", "list.weights", "mean_size", F.lit(k).cast("bigint").alias("k")
     )
 

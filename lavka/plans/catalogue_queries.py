@@ -109,13 +109,13 @@ def deep_category_route(spark, sf_dir):
 
 @query(
     """SELECT good_id AS page_id, '{"Бренд":"' || code || '","Тип":"' || unit || '","Размер":"' || subsub || '"}' AS characteristics
-    FROM goods""",
-    "goods",
+    FROM shelf""",
+    "shelf",
 )
 def characteristics_map(spark, sf_dir):
     cells = (("Бренд", "title"), ("Тип", "unit"), ("Размер", "subsub"), ("Бренд", "code"))
     pairs = F.array(*[F.struct(F.lit(key).alias("key"), F.col(column).alias("value")) for key, column in cells])
-    rows = views.goods(spark, sf_dir).select(F.col("good_id").alias("page_id"), F.posexplode(pairs).alias("pos", "pair"))
+    rows = views.shelf(spark, sf_dir).select(F.col("good_id").alias("page_id"), F.posexplode(pairs).alias("pos", "pair"))
     maps = ops.characteristics_map(rows.select("page_id", "pos", "pair.key", "pair.value"))
     return maps.select("page_id", fn_json_map(F.col("characteristics")).alias("characteristics"))
 
@@ -176,6 +176,7 @@ def category_goods_join(spark, sf_dir):
     CASE WHEN gone OR description IS NULL THEN '{}' ELSE '{"Бренд":"' || code || '","Размер":"' || p.subsub || '"}' END AS characteristics
     FROM (SELECT *, sub = 'Brand#13' AS gone FROM placed) p JOIN goods g ON g.good_id = p.good_id""",
     "placed",
+    "goods",
 )
 def goods_detail_join(spark, sf_dir):
     return harvest(spark, sf_dir).withColumn("characteristics", fn_json_map(F.col("characteristics")))
@@ -194,14 +195,14 @@ def goods_per_leaf(spark, sf_dir):
 
 
 @query(
-    """SELECT NULL AS cat, NULL AS sub, NULL AS subsub, count(*) AS n, 0 AS level FROM goods
-    UNION ALL SELECT cat, NULL, NULL, count(*), 1 FROM goods GROUP BY cat
-    UNION ALL SELECT cat, sub, NULL, count(*), 2 FROM goods GROUP BY cat, sub
-    UNION ALL SELECT cat, sub, subsub, count(*), 3 FROM goods GROUP BY cat, sub, subsub""",
-    "goods",
+    """SELECT NULL AS cat, NULL AS sub, NULL AS subsub, count(*) AS n, 0 AS level FROM shelf
+    UNION ALL SELECT cat, NULL, NULL, count(*), 1 FROM shelf GROUP BY cat
+    UNION ALL SELECT cat, sub, NULL, count(*), 2 FROM shelf GROUP BY cat, sub
+    UNION ALL SELECT cat, sub, subsub, count(*), 3 FROM shelf GROUP BY cat, sub, subsub""",
+    "shelf",
 )
 def goods_rollup(spark, sf_dir):
-    return ops.goods_rollup(views.goods(spark, sf_dir))
+    return ops.goods_rollup(views.shelf(spark, sf_dir))
 
 
 @query("SELECT count(*) AS total FROM listing", "listing")
@@ -210,12 +211,12 @@ def goods_total(spark, sf_dir):
 
 
 @query(
-    """SELECT good_id, cat, sub, CASE WHEN cat = 'SMALL' THEN subsub END AS subsub FROM goods""",
-    "goods",
+    """SELECT good_id, cat, sub, CASE WHEN cat = 'SMALL' THEN subsub END AS subsub FROM shelf""",
+    "shelf",
 )
 def harvest_union(spark, sf_dir):
     """The category with a third level and the others, appended to one table."""
-    goods = views.goods(spark, sf_dir)
+    goods = views.shelf(spark, sf_dir)
     deep = goods.filter("cat = 'SMALL'").select("good_id", "cat", "sub", "subsub")
     return ops.harvest_union(deep, goods.filter("cat <> 'SMALL'").select("good_id", "cat", "sub"))
 

@@ -127,12 +127,12 @@ def goods_chunk_text(spark, sf_dir):
 
 WITH_ID = """SELECT good_id AS id, 'ID ' || CAST(good_id AS VARCHAR) || ' ' || title || form
     || '. Единица (измерения) хранения остатков: ' || unit || '. Цена за единицу в рублях: ' || CAST(price AS VARCHAR) AS content
-    FROM (SELECT *, '. ' || characteristics AS form FROM goods UNION ALL SELECT *, '' FROM goods)"""
+    FROM (SELECT *, '. ' || characteristics AS form FROM shelf UNION ALL SELECT *, '' FROM shelf)"""
 
 
-@query(WITH_ID, "goods")
+@query(WITH_ID, "shelf")
 def goods_chunk_with_id(spark, sf_dir):
-    goods = views.goods(spark, sf_dir)
+    goods = views.shelf(spark, sf_dir)
     return ops.goods_chunk_with_id(goods).union(ops.goods_chunk_with_id(goods, with_characteristics=False))
 
 
@@ -226,11 +226,11 @@ def product_code_trim(spark, sf_dir):
 
 @query(
     """SELECT good_id, 'Путь в каталоге: ' || cat || ', ' || sub || CASE WHEN sub = 'Brand#2' THEN ', ' || subsub ELSE '' END
-    || '. ' || title AS path_title FROM goods""",
-    "goods",
+    || '. ' || title AS path_title FROM shelf""",
+    "shelf",
 )
 def catalogue_path_title(spark, sf_dir):
-    rows = views.goods(spark, sf_dir).withColumn("subsub", F.when(F.col("sub") == "Brand#2", F.col("subsub")))
+    rows = views.shelf(spark, sf_dir).withColumn("subsub", F.when(F.col("sub") == "Brand#2", F.col("subsub")))
     return catalogue.catalogue_path_title(rows).select("good_id", "path_title")
 
 

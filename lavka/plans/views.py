@@ -71,12 +71,11 @@ def json_text(c: Column) -> Column:
 @view(
     """SELECT p_partkey AS good_id, p_name AS title, p_brand AS code, p_type AS unit, p_retailprice AS price,
     p_type AS cat, p_brand AS sub, CAST(p_size AS VARCHAR) AS subsub,
-    'Размер: ' || CAST(p_size AS VARCHAR) AS characteristics, text AS description
-    FROM part LEFT JOIN documents ON doc_id = p_partkey"""
+    'Размер: ' || CAST(p_size AS VARCHAR) AS characteristics FROM part"""
 )
-def goods(spark, sf_dir, heavy=False):
-    part, docs = table(spark, sf_dir, "part", heavy), table(spark, sf_dir, "documents").select("doc_id", "text")
-    return part.join(docs, part.p_partkey == docs.doc_id, "left_outer").select(
+def shelf(spark, sf_dir, heavy=False):
+    """Goods without their descriptions."""
+    return table(spark, sf_dir, "part", heavy).select(
         F.col("p_partkey").alias("good_id"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("code"),
@@ -86,18 +85,23 @@ def goods(spark, sf_dir, heavy=False):
         F.col("p_brand").alias("sub"),
         text("p_size").alias("subsub"),
         F.concat(F.lit("Размер: "), text("p_size")).alias("characteristics"),
-        F.col("text").alias("description"),
     )
 
 
+@view("SELECT shelf.*, text AS description FROM shelf LEFT JOIN documents ON doc_id = good_id", "shelf")
+def goods(spark, sf_dir, heavy=False):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("good_id"), F.col("text").alias("description"))
+    return shelf(spark, sf_dir, heavy).join(docs, "good_id", "left_outer")
+
+
 @view(
     """SELECT good_id AS id, 'ID ' || CAST(good_id AS VARCHAR) || ' ' || title || '. ' || characteristics
     || '. Единица (измерения) хранения остатков: ' || unit || '. Цена за единицу в рублях: '
-    || CAST(price AS VARCHAR) AS content, embedding FROM goods JOIN embeddings ON vec_id = good_id""",
-    "goods",
+    || CAST(price AS VARCHAR) AS content, embedding FROM shelf JOIN embeddings ON vec_id = good_id""",
+    "shelf",
 )
 def collection(spark, sf_dir, with_characteristics=True):
-    chunks = goods_ops.goods_chunk_with_id(goods(spark, sf_dir), with_characteristics)
+    chunks = goods_ops.goods_chunk_with_id(shelf(spark, sf_dir), with_characteristics)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return chunks.join(vectors, "id")
 
@@ -105,8 +109,8 @@ def collection(spark, sf_dir, with_characteristics=True):
 @view(
     """SELECT good_id AS id, 'ID ' || CAST(good_id AS VARCHAR) || ' ' || title
     || '. Единица (измерения) хранения остатков: ' || unit || '. Цена за единицу в рублях: '
-    || CAST(price AS VARCHAR) AS content, embedding FROM goods JOIN embeddings ON vec_id = good_id""",
-    "goods",
+    || CAST(price AS VARCHAR) AS content, embedding FROM shelf JOIN embeddings ON vec_id = good_id""",
+    "shelf",
 )
 def brief_collection(spark, sf_dir):
     return collection(spark, sf_dir, with_characteristics=False)
@@ -189,14 +193,14 @@ def page_links(spark, sf_dir):
     """SELECT good_id, cat, sub, subsub, '/catalog/' || cat || '/' AS cat_path,
     '/catalog/' || cat || '/' || replace(sub, '#', '-') || '/' AS sub_path,
     '/catalog/' || cat || '/' || replace(sub, '#', '-') || '/' || subsub || '/' AS subsub_path,
-    'https://shop.example/goods/' || CAST(good_id AS VARCHAR) || '/' AS good_url FROM goods""",
-    "goods",
+    'https://shop.example/goods/' || CAST(good_id AS VARCHAR) || '/' AS good_url FROM shelf""",
+    "shelf",
 )
 def placed(spark, sf_dir):
     """Each good with the paths of its three levels and its own address."""
     cat_path = F.concat(F.lit("/catalog/"), "cat", F.lit("/"))
     sub_path = F.concat(cat_path, F.replace("sub", F.lit("#"), F.lit("-")), F.lit("/"))
-    return goods(spark, sf_dir).select(
+    return shelf(spark, sf_dir).select(
         "good_id",
         "cat",
         "sub",
@@ -336,9 +340,9 @@ def menu_pages(spark, sf_dir):
 # Outline texts
 
 SQL["outline_parts"] = (
-    ("goods",),
+    ("shelf",),
     """SELECT CAST(subsub AS BIGINT) AS doc, cat, sub, string_split(title, ' ')[1] AS colour, count(*) AS n
-    FROM goods GROUP BY 1, 2, 3, 4""",
+    FROM shelf GROUP BY 1, 2, 3, 4""",
 )
 
 
@@ -357,7 +361,7 @@ def outline(spark, sf_dir):
     """An outline document per size: category, brand, colour. One brand's count
     is off by one, so that the sums do not all agree."""
     parts = (
-        goods(spark, sf_dir)
+        shelf(spark, sf_dir)
         .withColumn("doc", F.col("subsub").cast("bigint"))
         .withColumn("colour", F.substring_index("title", " ", 1))
         .groupBy("doc", "cat", "sub", "colour")

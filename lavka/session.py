@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     session, whose executors run in this very process, may fall back to the
     machine's temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
