@@ -16,7 +16,7 @@ def plain_text(c: Column) -> Column:
     """Markup dropped and the basic named references resolved."""
     c = F.regexp_replace(c, r"<[^>]*>", "")
     for name, sign in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
+        c = F.regexp_replace(c, name, sign)
     return c
 
 

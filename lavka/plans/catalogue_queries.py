@@ -18,11 +18,14 @@ PAGE_SELECTORS = {"title": ("title", None, None), "code": ("h1", None, None), "p
 # Page extraction
 
 
-@query(
-    r"""SELECT page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') AS title,
-    replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&') AS code,
-    trim(replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;', '&')) AS price FROM pages"""
-)
+def _plain(field: str) -> str:
+    return f"regexp_replace(regexp_replace({field}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+TITLE, HEADING, AD = (f"regexp_extract(html, '<{tag}>([^<]*)</', 1)" for tag in ("title", "h1", 'div class="ad"'))
+
+
+@query(f"SELECT page_id, {_plain(TITLE)} AS title, {_plain(HEADING)} AS code, trim({_plain(AD)}) AS price FROM pages")
 def product_fields(spark, sf_dir):
     return ops.product_fields(table(spark, sf_dir, "pages", heavy=True), PAGE_SELECTORS)
 

@@ -135,6 +135,5 @@ def test_csv_sink_writes_maps_as_json(spark, tmp_path):
 def test_harvest_union_keeps_repeats(spark):
     a = spark.createDataFrame([(1, "x")], "id int, sub string")
     b = spark.createDataFrame([(1,)], "id int")
-    assert sorted(map(tuple, ops.harvest_union(a, b, b).collect()), key=str) == [(1, "x"), (1, None), (1, None)] or True
-    assert ops.harvest_union(a, b, b).count() == 3
+    assert sorted(map(tuple, ops.harvest_union(a, b, b).collect()), key=str) == [(1, "x"), (1, None), (1, None)]
     assert ops.url_union_all(a.select(F.col("id")), b).count() == 2
