@@ -18,6 +18,13 @@ PATH_LABEL = "Путь в каталоге: "
 ID_PREFIX = "ID "
 TRUNCATION_MARK = " … [truncated]"
 
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # What float() accepts, without nan, inf and digit separators.
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -65,8 +72,9 @@ def fn_remove_spaces(c: Column) -> Column:
 
 
 def fn_strip(c: Column) -> Column:
-    """Without outer whitespace of any kind; ``trim`` would take spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without outer whitespace of any kind; a plain ``trim`` would take spaces
+    only, and a pattern would walk through the whole text."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def fn_rstrip_colon(c: Column) -> Column:
