@@ -40,10 +40,15 @@ class VectorScores:
         self.vectors = dense(queries["qvec"])
         self.probes = queries["probes"].to_pylist() if "probes" in queries.column_names else None
 
-    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        scores = np.round(dense(batch.column("embedding")) @ self.vectors.T, 6)
+    @staticmethod
+    def prepared(batch: pa.RecordBatch) -> tuple:
+        """What all blocks of queries need of a batch."""
+        bucket = batch.column("bucket").to_numpy() if "bucket" in batch.schema.names else None
+        return dense(batch.column("embedding")), bucket
+
+    def __call__(self, vectors: np.ndarray, bucket: np.ndarray | None) -> np.ndarray:
+        scores = np.round(vectors @ self.vectors.T, 6)
         if self.probes is not None:
-            bucket = batch.column("bucket").to_numpy()
             for at, probed in enumerate(self.probes):
                 scores[~np.isin(bucket, probed), at] = np.nan
         return scores
@@ -58,36 +63,41 @@ class TermScores:
 
     def __init__(self, queries: pa.Table, k1: float, b: float):
         terms, kinds = queries["terms"].combine_chunks(), np.array(queries["kind"].to_pylist())
+        self.width, self.k1, self.b = len(queries), k1, b
+        self.mean_size = queries["mean_size"][0].as_py()
         self.vocabulary = pc.unique(terms.flatten())
-        weights = np.zeros((len(self.vocabulary), len(queries)))
-        query_of = np.repeat(np.arange(len(queries)), pc.list_value_length(terms).to_numpy())
-        term_of = pc.index_in(terms.flatten(), value_set=self.vocabulary).to_numpy()
-        weights[term_of, query_of] = queries["weights"].combine_chunks().flatten().to_numpy()
-        near = kinds == "tfidf"
-        weights[:, near] /= np.sqrt((weights[:, near] ** 2).sum(axis=0))
-        self.width, self.kinds = len(queries), {}
+        term = pc.index_in(terms.flatten(), value_set=self.vocabulary).to_numpy()
+        query = np.repeat(np.arange(self.width), pc.list_value_length(terms).to_numpy())
+        weight = queries["weights"].combine_chunks().flatten().to_numpy()
+        length = np.sqrt(np.bincount(query, weight * weight, self.width))
+        weight = np.where(kinds[query] == "tfidf", weight / length[query], weight)
+        # per kind, the queries holding a term and their weights, ordered by term
+        self.kinds = {}
         for kind in np.unique(kinds):
-            columns = np.nonzero(kinds == kind)[0]
-            self.kinds[kind] = columns, np.ascontiguousarray(weights[:, columns])
-        self.mean_size = queries["mean_size"][0].as_py()
-        self.k1, self.b = k1, b
+            order = np.argsort(np.where(kinds[query] == kind, term, len(self.vocabulary)), kind="stable")
+            order = order[: (kinds[query] == kind).sum()]
+            held = np.bincount(term[order], minlength=len(self.vocabulary))
+            self.kinds[kind] = held, np.cumsum(held) - held, query[order], weight[order]
 
-    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+    @staticmethod
+    def prepared(batch: pa.RecordBatch) -> tuple:
+        """Distinct tokens of the batch; per chunk and token its count."""
         tokens = batch.column("tokens")
         sizes = pc.list_value_length(tokens).to_numpy()
         coded = pc.dictionary_encode(tokens.flatten())
-        names = coded.dictionary
-        width = max(len(names), 1)
-        cells, counts = np.unique(
-            np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True
-        )
-        row, code = np.divmod(cells, width)
+        width = max(len(coded.dictionary), 1)
+        cells = np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy()
+        cells, counts = np.unique(cells, return_counts=True)
+        return coded.dictionary, sizes, *np.divmod(cells, width), counts
+
+    def __call__(self, names, sizes, row, code, counts) -> np.ndarray:
         term = pc.fill_null(pc.index_in(names, value_set=self.vocabulary), -1).to_numpy()[code]
         asked = term >= 0
-        scores = np.zeros((len(sizes), self.width))
-        for kind, (columns, weights) in self.kinds.items():
+        scores = np.zeros(len(sizes) * self.width)
+        for kind, holders in self.kinds.items():
             weight = self.chunk_weight(kind, row, counts, sizes)
-            self.add_products(scores, columns, row[asked], term[asked], weight[asked], weights)
+            self.add_products(scores, row[asked], term[asked], weight[asked], *holders)
+        scores = scores.reshape(len(sizes), self.width)
         return np.where(scores > 0, np.round(scores, 6), np.nan)
 
     def chunk_weight(self, kind: str, row: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,14 +107,21 @@ class TermScores:
         size = sizes[row] / self.mean_size
         return counts * (self.k1 + 1) / (counts + self.k1 * (1 - self.b + self.b * size))
 
-    @staticmethod
-    def add_products(scores, columns, row, term, weight, weights) -> None:
-        """Add weight x weights[term] to the row's scores, rows being sorted."""
-        step = max(1, MAX_CELLS // len(columns))
-        for start in range(0, len(row), step):
-            part = slice(start, start + step)
-            rows, first = np.unique(row[part], return_index=True)
-            scores[np.ix_(rows, columns)] += np.add.reduceat(weight[part, None] * weights[term[part]], first, axis=0)
+    def add_products(self, scores, row, term, weight, held, first, query, query_weight) -> None:
+        """Add to each (row, query) cell the products over their shared terms, as
+        many at a time as memory is set aside for."""
+        upto = np.cumsum(held[term])
+        start = 0
+        while start < len(term):
+            base = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, base + MAX_CELLS, "right")))
+            part = slice(start, end)
+            times = held[term[part]]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = np.repeat(first[term[part]], times) + within
+            cell = np.repeat(row[part], times) * self.width + query[at]
+            scores += np.bincount(cell, np.repeat(weight[part], times) * query_weight[at], len(scores))
+            start = end
 
 
 class BestHits:
@@ -171,12 +188,12 @@ def score_blocks(
         block = queries.slice(start, QUERY_BLOCK)
         blocks.append((block, scorer(block), keeper(block["k"].to_numpy())))
     rows = MAX_CELLS // QUERY_BLOCK
-    for batch in batches:
+    for batch in batches if blocks else ():
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
-            ids = part.column("id").to_numpy()
+            ids, prepared = part.column("id").to_numpy(), blocks[0][1].prepared(part)
             for _, score, kept in blocks:
-                kept.add(ids, score(part))
+                kept.add(ids, score(*prepared))
     for block, _, kept in blocks:
         at, values = kept.rows()
         keys = [block[name].combine_chunks().take(pa.array(at)) for name in schema.names[: -len(values)]]
