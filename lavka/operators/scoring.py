@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 256  # queries scored at once
 MAX_CELLS = 4_000_000  # cells of one score matrix: 32 MB
+NO_ID = np.iinfo(np.int64).max
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -133,26 +134,27 @@ class BestHits:
         self.k = k
         self.query, self.id = np.empty(0, np.int64), np.empty(0, np.int64)
         self.score = np.empty(0)
-        self.floor = np.full(len(k), -np.inf)
+        # score and id of the last hit held by a query that has its k
+        self.floor, self.floor_id = np.full(len(k), -np.inf), np.full(len(k), NO_ID)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         scores = np.where(np.isnan(scores), -np.inf, scores)
-        most = int(self.k.max(initial=0))
-        floor = self.floor
-        if 0 < most < len(ids) and np.isinf(floor).any():
-            cut = len(ids) - most
-            floor = np.maximum(floor, np.partition(scores, cut, axis=0)[cut])
-        row, query = np.nonzero((scores >= floor) & (scores > -np.inf))
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[row, query[len(self.query):]]])
-        ident = np.concatenate([self.id, ids[row]])
+        floor, floor_id = self.floor.copy(), self.floor_id.copy()
+        wide = np.nonzero(np.isinf(floor) & ((scores > -np.inf).sum(axis=0) > self.k))[0]
+        if len(wide):
+            cut = len(ids) - min(int(self.k[wide].max()), len(ids))
+            floor[wide] = np.partition(scores[:, wide], cut, axis=0)[cut]
+        better = (scores > floor) | ((scores == floor) & (ids[:, None] < floor_id) & (scores > -np.inf))
+        row, query = np.nonzero(better)
+        score = np.concatenate([self.score, scores[row, query]])
+        query, ident = np.concatenate([self.query, query]), np.concatenate([self.id, ids[row]])
         order = np.lexsort((ident, -score, query))
         query, score, ident = query[order], score[order], ident[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place + 1 == self.k[query]
+        self.floor[query[last]], self.floor_id[query[last]] = score[last], ident[last]
         keep = place < self.k[query]
         self.query, self.score, self.id = query[keep], score[keep], ident[keep]
-        full = (place + 1 == self.k[query])
-        self.floor[query[full]] = score[full]
 
     def rows(self) -> tuple:
         """Query number per row, and the columns."""
