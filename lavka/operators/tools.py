@@ -124,7 +124,8 @@ def tool_get_descriptions(calls: DataFrame, goods: DataFrame) -> DataFrame:
 
 def _search(calls: DataFrame, collection: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """(CALL, vec_query, k, ...) to one row per hit: rank, id, score, content.
-    A text that many calls ask for is searched once, at the largest k."""
+    A text that many calls ask for is searched once, at the largest k; texts are
+    numbered by a 64-bit hash."""
     numbered = calls.withColumn("query_id", F.xxhash64("vec_query"))
     texts = numbered.groupBy("query_id", "vec_query").agg(F.max("k").alias("k"))
     queries = texts.join(query_vectors, "vec_query").select("query_id", "qvec", "k")
