@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from comparison import ORACLE, QUERIES, compare, open_tables
+from comparison import compare, open_tables
+from lavka.plans.registry import ORACLE, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
