@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lavka.llm.batches import runs
+
 #: A vocabulary file may have so many bytes, as every task holds it.
 LARGEST_FILE = 64 << 20
 #: So many different words are remembered in a task before it starts anew.
@@ -245,18 +247,6 @@ def shared_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def runs(texts: pa.Array, characters: int = 8_000_000) -> Iterator[pa.Array]:
-    """Slices of an array of texts, each of about so many bytes at most or one text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for at, size in enumerate(sizes):
-        if held and held + size > characters:
-            yield texts.slice(start, at - start)
-            start, held = at, 0
-        held += size
-    yield texts.slice(start)
-
-
 def encode(spark: SparkSession, text: Column, path: str) -> Column:
     """The token ids of a text, without special tokens of the model's own.
 

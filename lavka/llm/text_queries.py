@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe
+from lavka.llm import bpe, language
+from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
 
 
@@ -28,3 +29,13 @@ def op1_bpe(spark, sf_dir):
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op10_language(spark, sf_dir):
+    """The language of each document by profiles learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    profiles = language.language_profiles(docs.filter(~F.col("held_out")), F.col("text"), F.col("lang"))
+    found = docs.select("doc_id", "held_out", language.predicted_language(profiles, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
