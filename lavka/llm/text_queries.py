@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, language
+from lavka.llm import bpe, language, simhash
+from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
 
@@ -19,6 +20,7 @@ def word_vocabulary() -> str:
 @query()
 def op1_bpe(spark, sf_dir):
     """Digests of each document's token ids and of the text they decode to."""
+    bounded_batches(spark)
     path = word_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = docs.select("doc_id", bpe.encode(spark, F.col("text"), path).alias("ids"))
@@ -31,9 +33,17 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+@query()
+def op3_simhash(spark, sf_dir):
+    """Each document's fingerprint and the smallest id of its near-duplicate class."""
+    bounded_batches(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_language(spark, sf_dir):
     """The language of each document by profiles learned from four fifths of them."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     profiles = language.language_profiles(docs.filter(~F.col("held_out")), F.col("text"), F.col("lang"))
