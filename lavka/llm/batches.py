@@ -6,9 +6,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+#: Rows of whole texts go to Python in batches of so many rows and bytes.
+BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
 
-def runs(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+
+def runs(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
     """Slices of an array of texts, each of about ``size`` bytes at most or one text.
 
     An empty array gives one empty slice.
@@ -32,3 +37,9 @@ def pieces(text: str, size: int) -> Iterator[str]:
         yield text[start:cut]
         start = cut
     yield text[start:]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to a size that fits rows of whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -29,11 +29,11 @@ from lavka.llm.batches import runs
 #: A vocabulary file may have so many bytes, as every task holds it.
 LARGEST_FILE = 64 << 20
 #: So many different words are remembered in a task before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: So many lists of ids are decoded at a time.
 DECODED = 500
 #: So many symbols of new words are indexed together.
-INDEXED = 4_000_000
+INDEXED = 800_000
 
 # What the vocabulary's pre-tokenizer takes for a word.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -209,9 +209,15 @@ class Encoder:
         """All ids one after another, and how many each text has."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        stretches = [self.stretches(t) for t in texts]
-        new, held = [], 0
-        for stretch in {s for found in stretches for s in found if s not in self.known}:
+        new: list[str] = []
+        held, known = 0, self.known
+        lengths = np.zeros(len(texts), np.int64)
+        met: set[str] = set()
+        for row, text in enumerate(texts):
+            found = self.stretches(text)
+            lengths[row] = len(found)
+            met.update(s for s in found if s not in known)
+        for stretch in met:
             new.append(stretch)
             held += len(stretch)
             if held > INDEXED:
@@ -220,9 +226,9 @@ class Encoder:
         if new:
             self.learn(new)
         self.lists, self.counts = [np.concatenate(self.lists)], [np.concatenate(self.counts)]
-        lengths = np.fromiter(map(len, stretches), np.int64, len(texts))
-        known = self.known
-        which = np.fromiter((known[s] for found in stretches for s in found), np.int64, int(lengths.sum()))
+        which = np.fromiter(
+            (known[s] for t in texts for s in self.stretches(t)), np.int64, int(lengths.sum())
+        )
         sizes = np.concatenate(([0], np.cumsum(self.counts[0][which])))
         ends = np.cumsum(lengths)
         return gathered(self.lists[0], self.counts[0], which), sizes[ends] - sizes[ends - lengths]
