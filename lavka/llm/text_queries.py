@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, language, simhash
+from lavka.llm import bpe, decontamination, language, simhash
 from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
@@ -40,6 +40,14 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(decontamination.ORACLE)
+def op7_decontamination(spark, sf_dir):
+    """Every benchmark item that a document contains."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminations(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op10_language(spark, sf_dir):
     """The language of each document by profiles learned from four fifths of them."""
