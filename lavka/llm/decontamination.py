@@ -12,8 +12,8 @@ shingle is hashed once for all classes.
 Candidates are verified on the words themselves: the share of the item's
 distinct shingles that occur anywhere in the document.
 
-Words are runs of ASCII letters and digits and of any other characters beyond
-ASCII but general punctuation, in lower case. Items of fewer than five words
+Words are runs of ASCII letters and digits and of other characters beyond ASCII,
+general and Latin-1 punctuation excepted, in lower case. Items of fewer than five words
 have no shingle and match nothing; null and empty texts contain nothing.
 
 With 64 minima, an item of the least accepted containment 0.8 is missed with
@@ -64,7 +64,9 @@ MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uin
 
 def plain(text: str | None) -> str:
     lowered = (text or "").lower()
-    return PUNCTUATION.sub(" ", lowered) if PUNCTUATION.search(lowered) else lowered
+    if lowered.isascii() or not PUNCTUATION.search(lowered):
+        return lowered
+    return PUNCTUATION.sub(" ", lowered)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
