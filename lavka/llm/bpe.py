@@ -191,7 +191,7 @@ class Encoder:
         words: dict[str, int] = {}
         parts, sizes = [], []
         for stretch in new:
-            composed = unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower()
+            composed = unicodedata.normalize("NFC", stretch).replace("\u03a3", "\u03c3").lower()
             found = WORD.findall(composed)
             parts += [words.setdefault(w, len(words)) for w in found]
             sizes.append(len(found))

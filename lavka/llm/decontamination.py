@@ -44,7 +44,7 @@ PIECE = 500_000
 #: So many shingles have their minima taken at a time.
 CHUNK = 65_536
 
-PUNCTUATION = regex.compile("[ -⁯ -¿]")
+PUNCTUATION = regex.compile(r"[\u2000-\u206f\u00a0-\u00bf]")
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 BASE = 0x9E3779B97F4A7C15

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, decontamination, language, simhash
+from lavka.llm import bpe, decontamination, language, simhash, toxicity
 from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
@@ -33,6 +33,22 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+@query()
+def op2_toxicity(spark, sf_dir):
+    """Each document's toxicity by its nearest labelled examples."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.toxicity(docs, labels, ~held_out(F.col("doc_id")))
+    return found.select(
+        "doc_id",
+        (~F.col("learned")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 @query()
 def op3_simhash(spark, sf_dir):
     """Each document's fingerprint and the smallest id of its near-duplicate class."""
