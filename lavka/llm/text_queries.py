@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, decontamination, language, simhash, toxicity
+from lavka.llm import bpe, decontamination, language, licenses, simhash, toxicity
 from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
@@ -56,6 +56,12 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(licenses.oracle())
+def op6_licenses(spark, sf_dir):
+    """Every licence found in a document, by the sentences that tell it."""
+    return licenses.licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query(decontamination.ORACLE)
 def op7_decontamination(spark, sf_dir):
     """Every benchmark item that a document contains."""
