@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, decontamination, language, licenses, simhash, toxicity
+from lavka.llm import bpe, decontamination, language, licenses, secrets, simhash, toxicity
 from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
@@ -56,6 +56,13 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_secrets(spark, sf_dir):
+    """Every secret in a document, with the forest's probability."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.secrets(docs, path=F.col("source")).drop("source")
+
+
 @query(licenses.oracle())
 def op6_licenses(spark, sf_dir):
     """Every licence found in a document, by the sentences that tell it."""
