@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavka.llm.batches import pieces, runs
+from lavka.llm.stored import stored
 
 DIMENSIONS = 1024
 SEED = 20
@@ -206,3 +207,17 @@ def predicted_language(profiles: DataFrame, text: Column) -> Column:
             )
 
     return predict(text)
+
+
+def recognised(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose language is recognised, all columns.
+
+    Rejected are null texts, texts without a letter, and those whose cosine with
+    the nearest language is no more than twice what random vectors have. Where
+    no language can be learned, only texts without a letter are rejected.
+    """
+    profiles = stored(language_profiles(docs, F.col(text), F.col(lang)), "profiles")
+    if profiles.isEmpty():
+        return docs.filter(F.rlike(F.col(text), F.lit(r"\p{L}")))
+    found = docs.withColumn("_found", predicted_language(profiles, F.col(text)))
+    return found.filter(F.col("_found.score") > 2 / DIMENSIONS**0.5).select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import bpe, decontamination, language, licenses, secrets, simhash, toxicity
+from lavka.llm import bpe, decontamination, language, licenses, quality, secrets, simhash, toxicity, urls
 from lavka.llm.batches import bounded_batches
 from lavka.llm.folds import held_out
 from lavka.llm.registry import query, table
@@ -77,6 +77,20 @@ def op7_decontamination(spark, sf_dir):
     return decontamination.contaminations(docs, table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op9_quality(spark, sf_dir):
+    """Each document's quality; its site is that of its page, else its source."""
+    url = F.col("url")
+    path = F.get(F.split(urls.url_path(url), "/"), F.lit(1))
+    pages = table(spark, sf_dir, "pages")
+    sites = pages.select(F.col("page_id").alias("doc_id"), urls.url_host(url).alias("host"), path.alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    found = quality.quality(docs, sites, labels, ~held_out(F.col("doc_id")))
+    keep = (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("keep")
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "document", "host_share", "path_share", "score", keep)
+
+
 @query()
 def op10_language(spark, sf_dir):
     """The language of each document by profiles learned from four fifths of them."""
