@@ -183,7 +183,7 @@ def predicted_language(profiles: DataFrame, text: Column) -> Column:
     if len(learned) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     names = [name for name, _ in learned]
-    profile = np.array([vector for _, vector in learned], np.float64).reshape(len(learned), -1)
+    profile = np.array([vector for _, vector in learned] or np.zeros((0, 1)), np.float64)
     profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-300)
 
     @F.arrow_udf("lang_pred string, score double")

@@ -198,7 +198,8 @@ class Model:
         labels = [r.label for r in kept]
         self.index = BlockMaxIndex(vectors, [r.doc_id for r in kept], labels, len(idf))
         silent = [r.label for r in rows if not r.term]
-        self.silent = (sum(silent) + 0.5) / (len(silent) + 1) if rows else 0.0
+        overall = sum(r.label for r in rows) / len(rows) if rows else 0.0
+        self.silent = (sum(silent) + overall) / (len(silent) + 1)
         votes, truth = [], []
         for vector, row in zip(vectors, kept):
             near = self.index.nearest(vector, row.doc_id)
