@@ -11,6 +11,8 @@ SHEET_SCHEMA = "name string, unit string, price double"
 ABOUT_GOODS = ("good_id", "title", "code", "price", "characteristics", "description")
 
 OUTLINE_LINE = r"^((?:___\s+)*)(cat|subcat|subsubcat)\s+(.*?)\s*(?:(\([^()]*\))\s*)?\s(\d+)\w*\s*(\(.*\))?\s*$"
+#: What may stand around an outline line: white space, a quote, a comma behind it.
+OUTLINE_WRAPPING = r"""^\s*["']?\s*|\s*["']?\s*,?\s*$"""
 
 
 FEW_SPLITS = 64
@@ -34,9 +36,10 @@ def scan_goods_sheet(
 ) -> DataFrame:
     """A goods sheet with its columns taken by position.
 
-    A parquet export needs no header lines. Of a CSV export the leading lines
-    are looked up once and dropped by value, so that the scan itself stays
-    splittable over any number of tasks.
+    A parquet export needs no header lines. A CSV export may have line breaks
+    inside quoted cells, so that each file is read by one task; its leading rows
+    are dropped by their place in the file, equal rows further on stay. Wholly
+    blank lines are no rows. Large exports are many files.
     """
     names = [field.split()[0] for field in schema.split(",")]
     types = [field.split()[1] for field in schema.split(",")]
@@ -44,12 +47,13 @@ def scan_goods_sheet(
         rows = spark.read.parquet(path)
         cells = [F.col(rows.columns[at]) for at in positions]
     else:
-        lines = spark.read.text(path)
-        head = [row.value for row in lines.head(header_lines)]
         cell_schema = ", ".join(f"c{at} string" for at in range(width))
-        lines = lines.filter(~F.col("value").isin(head)) if head else lines
-        rows = lines.select(F.from_csv("value", cell_schema).alias("cells"))
-        cells = [F.col(f"cells.c{at}") for at in positions]
+        read = spark.read.option("multiLine", True).option("escape", '"').schema(cell_schema).csv(path)
+        # Rows of a file are numbered in its order, as one task reads all of it.
+        placed = read.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+        firsts = placed.groupBy("file").agg(F.min("place").alias("first"))
+        rows = placed.join(firsts, "file").filter(F.col("place") - F.col("first") >= header_lines)
+        cells = [F.col(f"c{at}") for at in positions]
     return rows.select(*[c.try_cast(kind).alias(name) for c, kind, name in zip(cells, types, names)])
 
 
@@ -76,8 +80,10 @@ def scan_collection(spark: SparkSession, name: str, root: str | None = None) ->
 
 
 def parse_outline(lines: DataFrame) -> DataFrame:
-    """(doc, line_no, line) with level, name, declared count and bracketed note."""
-    line = F.col("line")
+    """(doc, line_no, line) with level, name, declared count and bracketed note.
+    Lines may be indented and quoted. What is no outline line has level null;
+    ``unparsed_lines`` lists those."""
+    line = F.regexp_replace("line", OUTLINE_WRAPPING, "")
     note = [F.regexp_extract(line, OUTLINE_LINE, group) for group in (4, 6)]
     return lines.select(
         "doc",
@@ -92,6 +98,11 @@ def parse_outline(lines: DataFrame) -> DataFrame:
     )
 
 
+def unparsed_lines(outline: DataFrame) -> DataFrame:
+    """The lines of a parsed outline that no rule reads."""
+    return outline.filter("level IS NULL").select("doc", "line_no", "line")
+
+
 def scan_outline(spark: SparkSession, path: str) -> DataFrame:
     """Outline texts, one file per document, as numbered lines. A document is
     read whole, so the line order does not depend on how files are split."""

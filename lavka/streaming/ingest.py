@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lavka.operators.goods import goods_chunk_text
-from lavka.operators.ingest import ingest_error_budget
+from lavka.operators.ingest import loading_state
 
 
 def latest_per_id(batch: DataFrame) -> DataFrame:
@@ -18,17 +18,22 @@ def latest_per_id(batch: DataFrame) -> DataFrame:
 
 
 def load_batch(batch: DataFrame) -> DataFrame:
-    """The batch job on one arriving portion: dedupe, build chunks, gate."""
+    """The batch job on one arriving portion: dedupe, build chunks, and say of
+    every row whether it is accepted, bad, or behind the stop of the portion."""
     chunks = goods_chunk_text(latest_per_id(batch))
-    return ingest_error_budget(chunks, F.col("content").isNull()).select("pos", "content")
+    return loading_state(chunks, F.col("content").isNull()).select("pos", "content", "state")
 
 
 def ingest_stream(stream_df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Load every file that has arrived and stop. Each portion overwrites its own
-    folder, so one that is repeated after a failure leaves no doubles."""
+    folder, so one that is repeated after a failure leaves no doubles.
+
+    Every row is kept, in a folder by its state: what a portion over its budget
+    did not load can be corrected and brought in again.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch).write.mode("overwrite").parquet(f"{out}/portion={batch_id}")
+        load_batch(batch).write.mode("overwrite").partitionBy("state").parquet(f"{out}/portion={batch_id}")
 
     return (
         stream_df.writeStream.foreachBatch(load)
