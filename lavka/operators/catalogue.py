@@ -16,6 +16,7 @@ from lavka.functions.text import (
     null_to_text,
     product_code_trim,
 )
+from lavka.operators.skew import spread_join
 
 # Where a product page keeps its parts, (tag, attribute, value).
 PRODUCT_SELECTORS = {
@@ -310,6 +311,7 @@ def nonempty_category(volumes: DataFrame) -> DataFrame:
 
 
 def category_volume_join(requests: DataFrame, outline: DataFrame) -> DataFrame:
-    """Price requests on a category get its volume as their search limit."""
+    """Price requests on a category get its volume as their search limit. A
+    category of many requests is dealt over several tasks."""
     volumes = outline.select("cat", F.col("declared_count").alias("search_limit"))
-    return requests.join(volumes, "cat")
+    return spread_join(requests, volumes, "cat")

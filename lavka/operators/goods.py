@@ -21,6 +21,7 @@ from lavka.functions.text import (
     fn_strip,
     null_to_text,
 )
+from lavka.operators.skew import spread_join
 
 # How much of a description a request of one id, or of more, gets.
 ONE_ID_LENGTH, MANY_IDS_LENGTH = 1400, 800
@@ -160,7 +161,8 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
     The size of a request comes from its array, so no group is formed. Goods
     nobody asks for are left behind by a semi join, which needs no shuffle while
     the ids are few, and no more of a description than decides its shortening
-    goes on. An id that a large share of all requests asks for is split by AQE.
+    goes on. An id that a large share of all requests asks for is dealt over
+    several tasks. Of an id stored more than once the row that sorts first is taken.
     """
     asked = requests.select("request_id", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("pos", "good_id"))
     parts = _priced_as_text(goods).select(
@@ -173,7 +175,9 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
         F.lit(True).alias("known"),
     )
     needed = parts.join(asked.select("good_id").distinct(), "good_id", "left_semi")
-    shortened = clamp_by_request_size(asked.join(needed, "good_id", "left_outer"))
+    row = F.struct(*[c for c in needed.columns if c != "good_id"])
+    needed = needed.groupBy("good_id").agg(F.min(row).alias("row")).select("good_id", "row.*")
+    shortened = clamp_by_request_size(spread_join(asked, needed, "good_id", "left_outer"))
     return shortened.select(
         "request_id",
         "pos",

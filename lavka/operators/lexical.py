@@ -39,13 +39,23 @@ def static_chunking(docs: DataFrame, size: int = 800, overlap: int = 200) -> Dat
     )
     following = F.coalesce(F.left("piece.next", F.lit(overlap)), F.lit(""))
     return pieces.select(
-        (F.shiftleft("doc_id", 20) + F.col("chunk_no")).alias("chunk_id"),
+        chunk_id().alias("chunk_id"),
         "doc_id",
         F.col("chunk_no").cast("int").alias("chunk_no"),
         F.concat("piece.steps", following).alias("content"),
     )
 
 
+def chunk_id() -> Column:
+    """doc_id x 2^20 + chunk number; what would not fit stops with an error, so
+    that no two chunks ever share an id."""
+    fits = F.col("doc_id").between(-(1 << 43), (1 << 43) - 1) & (F.col("chunk_no") < 1 << 20)
+    joined = F.shiftleft("doc_id", 20) + F.col("chunk_no")
+    return F.when(fits | F.col("doc_id").isNull(), joined).otherwise(
+        F.raise_error(F.concat(F.lit("no chunk id for document "), F.col("doc_id").cast("string")))
+    )
+
+
 def _tokenised(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), tokens(F.col("content")).alias("tokens"))
 
@@ -139,7 +149,7 @@ def rrf_fusion(lexical: DataFrame, vector: DataFrame, c: int = RRF_CONSTANT) ->
 
 def hybrid_top5(fused: DataFrame, k: int = 5) -> DataFrame:
     """At most k results per query; a fused list is at most two hit lists long."""
-    return k_best(fused.withColumn("k", F.lit(k)))
+    return k_best(fused.withColumn("k", F.lit(k)), largest=k).drop("k")
 
 
 def hybrid_search(

@@ -23,38 +23,71 @@ MAX_CELLS = 4_000_000  # cells of one score matrix: 32 MB
 NO_ID = np.iinfo(np.int64).max
 
 
-def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of equally long float lists as unit vectors; a vector without
-    length turns into NaN and so never scores."""
+def dense(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """The float lists of a column as unit vectors. A list of another length, a
+    null and a vector without length turn into NaN and so never score."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(column), -1)
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    own = sizes == width
+    matrix = np.full((len(column), width), np.nan)
+    if own.all():
+        flat = column.flatten()
+    else:
+        flat = column.filter(pa.array(own)).flatten()
+    matrix[own] = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
     return np.divide(matrix, length, out=np.full_like(matrix, np.nan), where=length > 0)
 
 
+class Vectors:
+    """A batch's vectors, laid out once for each length that is asked for."""
+
+    def __init__(self, column: pa.Array):
+        self.column, self.laid_out = column, {}
+
+    def of(self, width: int) -> np.ndarray:
+        if width not in self.laid_out:
+            self.laid_out[width] = dense(self.column, width)
+        return self.laid_out[width]
+
+
 class VectorScores:
-    """Cosine of corpus embeddings and query vectors. With ``probes`` only rows
-    whose ``bucket`` is among a query's probed buckets get a score."""
+    """Cosine of corpus embeddings and query vectors of equal length. With ``probes`` only
+    rows whose ``bucket`` is among a query's probed buckets get a score."""
 
     def __init__(self, queries: pa.Table):
-        self.vectors = dense(queries["qvec"])
+        sizes = np.array([len(v) for v in queries["qvec"].to_pylist()], np.int64)
+        self.count = len(sizes)
+        self.vectors = {
+            int(width): (np.flatnonzero(sizes == width), dense(queries["qvec"].filter(pa.array(sizes == width)), int(width)))
+            for width in np.unique(sizes)
+        }
         self.probes = queries["probes"].to_pylist() if "probes" in queries.column_names else None
 
     @staticmethod
     def prepared(batch: pa.RecordBatch) -> tuple:
         """What all blocks of queries need of a batch."""
         bucket = batch.column("bucket").to_numpy() if "bucket" in batch.schema.names else None
-        return dense(batch.column("embedding")), bucket
+        return Vectors(batch.column("embedding")), bucket
 
-    def __call__(self, vectors: np.ndarray, bucket: np.ndarray | None) -> np.ndarray:
-        scores = np.round(vectors @ self.vectors.T, 6)
+    def __call__(self, vectors: Vectors, bucket: np.ndarray | None) -> np.ndarray:
+        scores = np.full((len(vectors.column), self.count), np.nan)
+        for width, (at, own) in self.vectors.items():
+            scores[:, at] = np.round(vectors.of(width) @ own.T, 6)
         if self.probes is not None:
             for at, probed in enumerate(self.probes):
                 scores[~np.isin(bucket, probed), at] = np.nan
         return scores
 
 
+def closest_centres(column: pa.Array, units: np.ndarray, count: int) -> pa.Array:
+    """Per vector the numbers of the closest rows of ``units``, null where none is."""
+    near = np.round(dense(column, units.shape[1]) @ units.T, 6)
+    known = ~np.isnan(near).any(axis=1)
+    order = np.argsort(-near, axis=1, kind="stable")[:, :count]
+    return pa.array([list(row) if k else None for row, k in zip(order.tolist(), known.tolist())], pa.list_(pa.int64()))
+
+
 class TermScores:
     """Sum over shared terms of (query weight x chunk weight). A query row holds
     its ``kind``, ``terms``, ``weights`` and the corpus mean length
@@ -200,8 +233,3 @@ def score_blocks(
         at, values = kept.rows()
         keys = [block[name].combine_chunks().take(pa.array(at)) for name in schema.names[: -len(values)]]
         yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], schema=schema)
-
-
-def score_pair(run: Callable, schema: pa.Schema, queries: pa.Table, corpus: pa.Table) -> pa.Table:
-    """One block of queries with one block of the corpus."""
-    return pa.Table.from_batches(list(run(queries, corpus.to_batches())), schema=schema)

@@ -54,13 +54,13 @@ def test_topk_equals_brute_force(vector_tables):
 
 def test_paired_blocks_give_the_same(vector_tables):
     corpus, queries, c, q, ks = vector_tables
-    paired = ranking.vector_topk_batch(queries, corpus, "k", broadcast_queries=6, corpus_block=150)
+    paired = ranking.vector_topk_batch(queries, corpus, "k", block_queries=6)
     assert found(paired) == brute(c, q, ks)
 
 
 def test_stats_count_every_pair(vector_tables):
     corpus, queries, c, q, _ = vector_tables
-    for bounds in ({}, {"broadcast_queries": 6, "corpus_block": 150}):
+    for bounds in ({}, {"block_queries": 6}):
         rows = ranking.query_corpus_join(queries, corpus, **bounds).collect()
         assert [r.compared for r in rows] == [699] * 25
         for r in rows:
@@ -133,7 +133,7 @@ def brute_text(docs, queries, kind, k):
     return expected
 
 
-@pytest.mark.parametrize("bounds", [{}, {"broadcast_queries": 5, "corpus_block": 80}])
+@pytest.mark.parametrize("bounds", [{}, {"block_queries": 5}])
 @pytest.mark.parametrize("kind", ["bm25", "tfidf"])
 def test_text_ranking_equals_brute_force(texts, kind, bounds):
     chunks, queries, docs, plain = texts
