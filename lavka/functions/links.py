@@ -1,29 +1,64 @@
-"""Flat links of stored pages by built-in expressions, no Python worker."""
+"""Flat links of stored pages by built-in expressions, no Python worker.
+
+A link begins at its start tag and ends at the next one, at its end tag or with
+the page, as a parser reads it; attribute values may stand without quotes, and
+all references of text and addresses are resolved.
+"""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-ANCHOR = r"(?is)(<a\b[^>]*>.*?</a>)"
+LINK_START = r"(?i)(?=<a[\s/>])"
+LINK_END = r"(?i)</a[\s/>]"
+#: A start tag; quoted values may hold an angle bracket.
+TAG = r"""^<[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>?"""
+REFERENCE = r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
+
+
+def character(point: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def resolved(c: Column) -> Column:
+    """Named and numeric references resolved, each once; unknown ones stay."""
+    named = F.create_map(*chain.from_iterable((F.lit(n), F.lit(chr(p))) for n, p in name2codepoint.items()))
+    named = F.map_concat(named, F.create_map(F.lit("apos"), F.lit("'")))
+
+    def value(reference: Column) -> Column:
+        name = F.substring(reference, 2, F.length(reference) - 2)
+        hexadecimal = F.conv(F.regexp_extract(name, "^#[xX](.*)", 1), 16, 10).try_cast("bigint")
+        decimal = F.regexp_extract(name, "^#([0-9]+)", 1).try_cast("bigint")
+        point = F.coalesce(F.when(F.rlike(name, F.lit("^#[xX]")), hexadecimal), decimal)
+        allowed = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(allowed, character(point)), F.try_element_at(named, name), reference)
 
-# The named references resolved in link texts and addresses.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+    parts = F.split(c, r"(?=&)")
+    whole = F.transform(
+        parts,
+        lambda p: F.when(F.rlike(p, F.lit("^" + REFERENCE)), F.concat(
+            value(F.regexp_extract(p, "^" + REFERENCE, 1)), F.regexp_replace(p, "^" + REFERENCE, "")
+        )).otherwise(p),
+    )
+    return F.when(F.contains(c, F.lit("&")), F.array_join(whole, "")).otherwise(c)
 
 
 def plain_text(c: Column) -> Column:
-    """Markup dropped and the basic named references resolved."""
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    for name, sign in ENTITIES:
-        c = F.regexp_replace(c, name, sign)
-    return c
+    """Markup dropped and references resolved."""
+    return resolved(F.regexp_replace(F.regexp_replace(c, TAG, ""), r"<[^>]*>", ""))
 
 
 def attribute(fragment: Column, name: str) -> Column:
     """Value of an attribute of the fragment's first tag, '' if absent."""
-    found = F.regexp_extract(fragment, rf"(?is)^<[^>]*?\s{name}\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)')", 1)
-    return plain_text(found)
+    tag = F.regexp_extract(fragment, TAG, 0)
+    pattern = rf"""(?is)^<[^\s>/]+(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>]+)*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return resolved(F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)]))
 
 
 def anchors(html: Column, link_class: str | None = None, within: str | None = None) -> Column:
@@ -32,7 +67,8 @@ def anchors(html: Column, link_class: str | None = None, within: str | None = No
     clean = F.regexp_replace(html, HIDDEN, "")
     if within:
         clean = F.regexp_extract(clean, rf"(?is)<{within}\b[^>]*>(.*?)</{within}>", 1)
-    found = F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(1))
+    found = F.filter(F.split(clean, LINK_START), lambda part: F.rlike(part, F.lit(r"(?i)^<a[\s/>]")))
+    found = F.transform(found, lambda part: F.get(F.split(part, LINK_END, 2), F.lit(0)))
     if link_class:
         found = F.filter(found, lambda a: F.array_contains(F.split(attribute(a, "class"), r"\s+"), link_class))
     return F.transform(found, lambda a: F.struct(attribute(a, "href").alias("href"), plain_text(a).alias("text")))

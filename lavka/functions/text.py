@@ -123,21 +123,41 @@ def fn_slice(pos: Column, n: Column, start: Column, end: Column) -> Column:
     return (pos >= slice_bound(start, n)) & (pos < slice_bound(end, n))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments carried out."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    empty = F.slice(parts, 1, 0)
+    kept = F.aggregate(
+        parts,
+        empty,
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    folder = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 def fn_abs_url(base: Column, href: Column) -> Column:
-    """Absolute form of a link found at ``base``; ``..`` parts stay as written."""
-    scheme = F.try_parse_url(base, F.lit("PROTOCOL"))
-    origin = F.concat(scheme, F.lit("://"), F.try_parse_url(base, F.lit("AUTHORITY")))
-    path = F.coalesce(F.try_parse_url(base, F.lit("PATH")), F.lit(""))
+    """Absolute form of a link found at ``base``, dot segments carried out and
+    outer white space dropped."""
+    href = F.regexp_replace(href, r"^\s+|\s+$", "")
+    scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
+    authority = F.regexp_extract(base, r"^[^:/?#]+://([^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    origin = F.concat(scheme, F.lit("://"), authority)
+    own = F.regexp_extract(href, r"^[^?#]*", 0)
+    rest = F.regexp_replace(href, r"^[^?#]*", "")
     folder = F.regexp_replace(path, r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     return (
         F.when(href == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(own), rest))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .when(href.startswith("?"), F.concat(origin, path, href))
-        .otherwise(F.concat(origin, folder, href))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, own)), rest))
     )
 
 

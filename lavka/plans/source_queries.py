@@ -23,7 +23,18 @@ def scan_goods_sheet(spark, sf_dir):
 
 @query("SELECT good_id, title, code, price, characteristics, description FROM goods", "goods")
 def scan_about_goods(spark, sf_dir):
-    return tables.scan_about_goods(spark, views.goods(spark, sf_dir))
+    path = shared_folder(spark, "about-goods")
+    views.goods(spark, sf_dir).write.parquet(path)
+    return tables.scan_about_goods(spark, path)
+
+
+#: Stored vectors are compared number by number, one row each.
+READ_BACK = "SELECT id, content, unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS number FROM {}"
+
+
+def read_back(found):
+    rows = found.select("id", "content", F.posexplode("embedding").alias("place", "number"))
+    return rows.select("id", "content", F.col("place").cast("long"), F.col("number").cast("double"))
 
 
 @query("SELECT page_id, url, html FROM pages")
@@ -31,12 +42,12 @@ def scan_pages(spark, sf_dir):
     return tables.scan_pages(spark, f"{sf_dir}/pages.parquet")
 
 
-@query("SELECT id, content, CAST(len(embedding) AS INTEGER) AS dimensions FROM collection", "collection")
+@query(READ_BACK.format("collection"), "collection")
 def scan_collection(spark, sf_dir):
     root = shared_folder(spark, "collections")
     sinks.sink_collection(views.collection(spark, sf_dir), tools.FULL_COLLECTION, root)
     found = tables.scan_collection(spark, tools.FULL_COLLECTION, root)
-    return found.select("id", "content", F.size("embedding").alias("dimensions"))
+    return read_back(found)
 
 
 def stored_outline(spark, sf_dir):
@@ -63,12 +74,11 @@ def sink_goods_table(spark, sf_dir):
     return spark.read.parquet(path).select("title", "code", "price")
 
 
-@query("SELECT id, content, CAST(len(embedding) AS INTEGER) AS dimensions FROM brief_collection", "brief_collection")
+@query(READ_BACK.format("brief_collection"), "brief_collection")
 def sink_collection(spark, sf_dir):
     root = shared_folder(spark, "collections")
     sinks.sink_collection(views.brief_collection(spark, sf_dir), tools.BRIEF_COLLECTION, root)
-    found = spark.read.parquet(f"{root}/{tools.BRIEF_COLLECTION}")
-    return found.select("id", "content", F.size("embedding").alias("dimensions"))
+    return read_back(spark.read.parquet(f"{root}/{tools.BRIEF_COLLECTION}"))
 
 
 @query(
@@ -84,8 +94,10 @@ def ingest_error_budget(spark, sf_dir):
 
 @query(
     """SELECT count(*) AS failed, min(pos) AS first_pos, arg_min(name, pos) AS first_name, arg_min(unit, pos) AS first_unit,
-    arg_min(price, pos) AS first_price FROM (SELECT pos, coalesce(name, '-') AS name, coalesce(unit, '-') AS unit, price FROM defects
-    WHERE name IS NULL OR unit IS NULL)""",
+    arg_min(price, pos) AS first_price FROM (SELECT pos, coalesce(name, '-') AS name, coalesce(unit, '-') AS unit, price FROM
+    (SELECT *, sum(CASE WHEN name IS NULL OR unit IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY floor(pos / 30)
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM defects)
+    WHERE (name IS NULL OR unit IS NULL) AND coalesce(before, 0) <= 5)""",
     "defects",
 )
 def failed_rows_report(spark, sf_dir):
@@ -98,21 +110,20 @@ def missing():
 
 
 @query(
-    """SELECT p_partkey AS pos, p_name || '. Единица (измерения) хранения остатков: ' || p_type
-    || '. Цена за единицу в рублях: ' || CAST(p_retailprice AS VARCHAR) AS content FROM part"""
+    """SELECT pos, content, CASE WHEN coalesce(before, 0) > 5 THEN 'not_loaded' WHEN content IS NULL THEN 'bad' ELSE 'accepted' END AS state
+    FROM (SELECT *, sum(CASE WHEN content IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY floor(pos / 30)
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT pos, name || '. Единица (измерения) хранения остатков: '
+    || unit || '. Цена за единицу в рублях: ' || CAST(price AS VARCHAR) AS content FROM defects))""",
+    "defects",
 )
 def ingest_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "part").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part*.parquet")
-    sheet = arriving.select(
-        F.col("p_partkey").alias("pos"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("unit"),
-        F.col("p_retailprice").alias("price"),
-    )
+    arrived = shared_folder(spark, "goods-arrived")
+    sheet = views.defects(spark, sf_dir)
+    sheet.write.parquet(arrived)
+    sheet = spark.readStream.schema(sheet.schema).parquet(arrived)
     out = shared_folder(spark, "goods-stream")
     start_ingest(sheet, f"{out}/data", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("pos", "content")
+    return spark.read.parquet(f"{out}/data").select("pos", "content", "state")
 
 
 # Text rules over goods

@@ -122,7 +122,48 @@ def test_sheet_from_csv(spark, tmp_path):
     sheet = 'Report,,,,,\n,,,,,\nA,B,Name,D,Unit,Price\n1,x,"Печь, малая",y,шт,1200.5\n2,x,Дверь,y,шт,нет\n'
     (tmp_path / "sheet.csv").write_text(sheet, encoding="utf-8")
     rows = tables.scan_goods_sheet(spark, str(tmp_path / "sheet.csv")).collect()
-    assert [tuple(r) for r in rows] == [("Печь, малая", "шт", 1200.5), ("Дверь", "шт", None)]
+    assert sorted(map(tuple, rows), reverse=True) == [("Печь, малая", "шт", 1200.5), ("Дверь", "шт", None)]
+
+
+def test_sheet_headers_go_by_place(spark, tmp_path):
+    head = "Report,,,,,\n,,,,,\nA,B,Name,D,Unit,Price\n"
+    body = '1,x,"Two\nlines ""q""",y,pc,5\n,,,,,\nA,B,Name,D,Unit,Price\n2,x,Door,y,pc,7\n'
+    for number in range(3):
+        (tmp_path / f"{number}.csv").write_text(head + body, encoding="utf-8")
+    rows = tables.scan_goods_sheet(spark, str(tmp_path) + "/*.csv").collect()
+    own = [('Two\nlines "q"', "pc", 5.0), (None, None, None), ("Name", "Unit", None), ("Door", "pc", 7.0)]
+    assert sorted(map(tuple, rows), key=repr) == sorted(own * 3, key=repr)
+
+
+def test_outline_indented_and_quoted(spark, tmp_path):
+    (tmp_path / "outline.txt").write_text('    cat Ovens 30\n    "___ subcat Steel 24"\n  "___ ___ subsubcat Small 20",\n  any other line\n')
+    lines = tables.scan_outline(spark, str(tmp_path / "outline.txt"))
+    parsed = [(r.level, r.name, r.declared_count) for r in lines.orderBy("line_no").collect()]
+    assert parsed == [(1, "Ovens", 30), (2, "Steel", 24), (3, "Small", 20), (None, "", None)]
+    assert [r.line_no for r in tables.unparsed_lines(lines).collect()] == [4]
+
+
+def test_links_as_a_parser_sees_them(spark):
+    html = """<a href=/x>X</a><a href="/y">Y<a href='/z'>Z</a><script>"<a href='/no'>"</script>
+    <A title="a>b" HREF = "/caf&eacute;?a=1&amp;b=2">caf&eacute; &#38; &#x263A;</A><abbr href="/n">n</abbr><a name=q>no</a><a href="/last">end"""
+    rows = spark.createDataFrame([(1, "http://h.org/a/b", html)], "page_id long, url string, html string")
+    found = [(r.href, r.text.strip()) for r in ops.page_links(rows).orderBy("pos").collect()]
+    assert found == [
+        ("/x", "X"), ("/y", "Y"), ("/z", "Z"), ("/caf\u00e9?a=1&b=2", "caf\u00e9 & \u263a"), ("", "no"), ("/last", "end")
+    ]
+
+
+def test_addresses_equal_urljoin(spark):
+    from urllib.parse import urljoin
+
+    from lavka.functions.text import fn_abs_url
+
+    bases = ["http://h.org/a/b/c.html", "http://h.org", "https://h.org/a/?q=1#f", "http://h.org/a/b/"]
+    links = ["./x", "../up", "x/../y", " x ", "../../../top", "/a/./b/../c", "x/.", "x/..", "//o.net/p/../q", "?b=1", "#c", "", "mailto:a@b", "x?y=../z", "..", "."]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in links], "base string, href string")
+    found = {(r.base, r.href): r.url for r in rows.select("base", "href", fn_abs_url(F.col("base"), F.col("href")).alias("url")).collect()}
+    for (base, href), url in found.items():
+        assert url == urljoin(base, href.strip()), (base, href)
 
 
 def test_csv_sink_writes_maps_as_json(spark, tmp_path):

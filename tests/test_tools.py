@@ -113,7 +113,11 @@ def test_error_budget(spark, bad_at):
     kept = sorted(r.pos for r in ingest.ingest_error_budget(df, F.col("name").isNull()).collect())
     assert kept == plain_budget(bad, 30, 5)
     report = ingest.failed_rows_report(df, F.col("name").isNull()).first()
-    assert report.failed == len(bad_at) and report.first_pos == (min(bad_at) if bad_at else None)
+    states = ingest.loading_state(df, F.col("name").isNull()).groupBy("state").count().collect()
+    counts = {r["state"]: r["count"] for r in states}
+    loaded_bad = [i for i in bad_at if i // 30 <= (sorted(bad_at)[5] // 30 if len(bad_at) > 5 else 10)]
+    assert report.failed == len(loaded_bad) == counts.get("bad", 0) and report.first_pos == (min(bad_at) if bad_at else None)
+    assert sum(counts.values()) == 100 and counts.get("accepted", 0) == len(kept)
 
 
 def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
@@ -124,7 +128,7 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     def load():
         stream = spark.readStream.schema(sheet.schema).parquet(str(tmp_path / "in"))
         ingest_stream(stream, out, progress).awaitTermination()
-        return {tuple(r) for r in spark.read.parquet(out).select("pos", "content").collect()}
+        return {tuple(r) for r in spark.read.parquet(out).select("pos", "content", "state").collect()}
 
     first = load()
     assert first == {tuple(r) for r in load_batch(sheet.filter("pos < 90")).collect()}
