@@ -245,3 +245,20 @@ def tool_call_batch(
         *CALL, "name", F.to_json(F.struct(F.col("problem").alias("error"))).alias("content")
     )
     return found.unionByName(described).unionByName(failed)
+
+
+def tool_loop_batch(
+    calls: DataFrame, goods: DataFrame, collections: dict[str, DataFrame], query_vectors: DataFrame
+) -> DataFrame:
+    """Run a log as the loop does: of every round the first call, of every thread
+    the first rounds. Each result carries the call's id and the tools used up to it;
+    a thread of more rounds has one row more, with the status for content.
+    """
+    ran = tool_call_batch(executed_calls(calls), goods, collections, query_vectors)
+    used = tools_used_so_far(calls).drop("name")
+    results = ran.join(used, list(CALL)).select(
+        *CALL, "name", F.concat_ws("-", *CALL).alias("tool_call_id"), "must_not_call", "content"
+    )
+    over = tool_round_limit(calls).filter(F.col("status") == TOO_MANY)
+    none = [F.lit(None).cast(results.schema[c].dataType).alias(c) for c in results.columns[1:-1]]
+    return results.unionByName(over.select("conv_id", *none, F.col("status").alias("content")))

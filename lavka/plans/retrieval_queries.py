@@ -270,10 +270,13 @@ def tool_round_limit(spark, sf_dir):
     return tools.tool_round_limit(calls(spark, sf_dir))
 
 
-@query(
-    """SELECT e.conv_id, e.round, e.call_idx, e.name, coalesce(string_agg(CASE u.name WHEN 'GetDescriptionsByIds' THEN 'name (DESC), '
+USED = """SELECT e.conv_id, e.round, e.call_idx, e.name, coalesce(string_agg(CASE u.name WHEN 'GetDescriptionsByIds' THEN 'name (DESC), '
     WHEN 'GoodsVectorSearch' THEN 'name (GVS), ' WHEN 'FindCheapExpensiveMiddleGoods' THEN 'name (PRICE), ' END, '' ORDER BY u.round), '') AS must_not_call
-    FROM executed e JOIN executed u ON u.conv_id = e.conv_id AND u.round <= e.round GROUP BY e.conv_id, e.round, e.call_idx, e.name""",
+    FROM executed e JOIN executed u ON u.conv_id = e.conv_id AND u.round <= e.round GROUP BY e.conv_id, e.round, e.call_idx, e.name"""
+
+
+@query(
+    USED,
     "executed",
 )
 def tools_used_so_far(spark, sf_dir):
@@ -406,8 +409,7 @@ def tool_search_text(spark, sf_dir):
     return tools.tool_search_text(asked, table(spark, sf_dir, "documents", heavy=True))
 
 
-@query(
-    f"""SELECT {KEY}, name, CASE
+RESULTS = f"""SELECT {KEY}, name, CASE
     WHEN name = 'WebSearch' THEN '{{"error":"TypeError(\\"''NoneType'' object is not callable\\")"}}'
     WHEN name = 'GetDescriptionsByIds' AND ids IS NULL THEN '{{"error":"ValidationError(GetDescriptionsByIds)"}}'
     WHEN name = 'GoodsVectorSearch' AND search_limit IS NULL THEN '{{"error":"ValidationError(GoodsVectorSearch)"}}'
@@ -418,7 +420,11 @@ def tool_search_text(spark, sf_dir):
     ELSE '{{"goods":[' || coalesce(p.pairs, '') || ']}}' END AS content
     FROM tool_calls LEFT JOIN desc_results USING ({KEY}) LEFT JOIN search_results s USING ({KEY})
     LEFT JOIN (SELECT {KEY}, string_agg('[' || CAST(to_json(content) AS VARCHAR) || ',' || CAST(price AS VARCHAR) || ']', ',' ORDER BY price_pos) AS pairs
-    FROM call_bands GROUP BY {KEY}) p USING ({KEY})""",
+    FROM call_bands GROUP BY {KEY}) p USING ({KEY})"""
+
+
+@query(
+    RESULTS,
     "desc_results",
     "search_results",
     "call_bands",
@@ -427,3 +433,19 @@ def tool_call_batch(spark, sf_dir):
     return tools.tool_call_batch(
         calls(spark, sf_dir), views.goods(spark, sf_dir), collections(spark, sf_dir), views.query_vectors(spark, sf_dir)
     )
+
+
+@query(
+    f"""SELECT {KEY}, name, conv_id || '-' || round || '-' || call_idx AS tool_call_id, must_not_call, content
+    FROM ({RESULTS}) JOIN ({USED}) USING ({KEY}, name)
+    UNION ALL SELECT conv_id, NULL, NULL, NULL, NULL, NULL, '{tools.TOO_MANY}'
+    FROM (SELECT conv_id, count(DISTINCT round) AS rounds FROM tool_calls GROUP BY conv_id) WHERE rounds > 4""",
+    "desc_results",
+    "search_results",
+    "call_bands",
+    "executed",
+)
+def tool_loop_batch(spark, sf_dir):
+    return tools.tool_loop_batch(
+        calls(spark, sf_dir), views.goods(spark, sf_dir), collections(spark, sf_dir), views.query_vectors(spark, sf_dir)
+    )

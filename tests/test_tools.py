@@ -137,9 +137,63 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     assert load() == first | {tuple(r) for r in load_batch(sheet.filter("pos >= 90")).collect()}
 
 
+def test_loop_runs_first_calls_of_four_rounds(spark):
+    from lavka.plans import retrieval_queries as rq
+
+    log = [("c", r, i, "WebSearch" if r == 2 else tools.DESC_TOOL, '{"ids": ["1"]}') for r in range(1, 7) for i in range(2)]
+    calls = spark.createDataFrame(log, "conv_id string, round int, call_idx int, name string, args string")
+    calls = calls.withColumn("conv_id", F.lit(77).cast("long"))
+    loop = tools.tool_loop_batch(calls, views.goods(spark, SF), rq.collections(spark, SF), views.query_vectors(spark, SF))
+    rows = sorted(map(tuple, loop.collect()), key=lambda r: (r[1] is None, r[1]))
+    assert [r[1:5] for r in rows[:-1]] == [
+        (n, 0, "WebSearch" if n == 2 else tools.DESC_TOOL, f"77-{n}-0") for n in range(1, 5)
+    ]
+    assert [r[5].count("DESC") for r in rows[:-1]] == [1, 1, 2, 3] and rows[-1] == (77, None, None, None, None, None, tools.TOO_MANY)
+
+
 # Plans
 
 
+def test_blocks_of_queries_are_scans_without_a_corpus_shuffle(spark):
+    chunks = views.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = ranking.vector_topk_batch(views.queries(spark, SF), chunks, 10, block_queries=3)
+    text = plan(hits)
+    assert text.count("MapInArrow") > 1 and "CoGroup" not in text
+    below = [line for line in text.splitlines() if "Exchange" in line and "embedding" in line]
+    assert not below
+    one = ranking.vector_topk_batch(views.queries(spark, SF), chunks, 10)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_vectors_of_other_lengths_never_score(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0]), (4, None)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 1.0]), (3, [1.0] * 4)], "query_id long, qvec array<double>")
+    found = {(r.query_id, r.id) for r in ranking.vector_topk_batch(queries, corpus, 5).collect()}
+    assert found == {(1, 1), (2, 2)}
+
+
+def test_hot_key_is_dealt_over_parts(spark):
+    from lavka.operators.skew import spread_join
+
+    many = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
+    few = spark.createDataFrame([(7, "hot"), (0, "cold"), (7, "twice"), (None, "none")], "k long, name string")
+    joined = spread_join(many, few, "k", rows_per_part=100)
+    assert joined.columns == ["k", "id", "name"]
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, many.join(few, "k").collect()))
+    left = spread_join(many, few, "k", "left_outer", rows_per_part=100)
+    assert left.count() == many.join(few, "k", "left_outer").count()
+
+
+def test_thousands_of_centres_plan_at_once(spark):
+    import time
+
+    rows = views.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centres = [[float((i * j) % 7 + 1) for i in range(64)] for j in range(4096)]
+    start = time.perf_counter()
+    rows.select(ranking.nearest_centres(F.col("embedding"), centres)[0]).explain()
+    assert time.perf_counter() - start < 10
+
+
 def test_topk_moves_no_corpus_row(spark):
     chunks = views.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), F.lit("x").alias("content"), "embedding")
     hits = ranking.with_content(ranking.vector_topk_batch(views.queries(spark, SF), chunks, 10), chunks)
