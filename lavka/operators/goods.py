@@ -61,7 +61,7 @@ def chunk_id_extract(chunks: DataFrame) -> DataFrame:
 def price_in_chunk(content: Column, label: str = PRICE_LABEL) -> Column:
     """The whole roubles behind the label; digit groups may be split by any
     kind of space, a fraction is dropped."""
-    digits = fn_regex_first(content, rf"(?U){label}\s*(\d[\d\s]*)")
+    digits = fn_regex_first(content, rf"(?U)\Q{label}\E\s*(\d[\d\s]*)")
     return F.regexp_replace(digits, r"(?U)\s", "").try_cast("bigint")
 
 

@@ -125,12 +125,13 @@ def tool_get_descriptions(calls: DataFrame, goods: DataFrame) -> DataFrame:
 def _search(calls: DataFrame, collection: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """(CALL, vec_query, k, ...) to one row per hit: rank, id, score, content.
     A text that many calls ask for is searched once, at the largest k; texts are
-    numbered by a 64-bit hash."""
+    numbered by a 64-bit hash and told apart by themselves."""
     numbered = calls.withColumn("query_id", F.xxhash64("vec_query"))
     texts = numbered.groupBy("query_id", "vec_query").agg(F.max("k").alias("k"))
-    queries = texts.join(query_vectors, "vec_query").select("query_id", "qvec", "k")
-    hits = with_content(vector_topk_batch(queries, collection, "k"), collection)
-    return numbered.join(hits, "query_id").filter("rank <= k")
+    queries = texts.join(query_vectors, "vec_query").select("query_id", "vec_query", "qvec", "k")
+    keys = ("query_id", "vec_query")
+    hits = with_content(vector_topk_batch(queries, collection, "k", keys), collection)
+    return numbered.join(hits, list(keys)).filter("rank <= k")
 
 
 def tool_vector_search(calls: DataFrame, collections: dict[str, DataFrame], query_vectors: DataFrame) -> DataFrame:
