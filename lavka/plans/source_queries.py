@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lavka.functions import text as fn
-from lavka.operators import catalogue, goods as ops, ingest, tools
+from lavka.operators import catalogue, goods as ops, harvest as harvesting, ingest, tools
 from lavka.plans import views
 from lavka.plans.registry import query
 from lavka.plans.views import table
@@ -61,17 +61,34 @@ def scan_outline(spark, sf_dir):
     return stored_outline(spark, sf_dir)
 
 
+#: Every category skips one of its subcategories and goes a level deeper in another.
+CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+SKIPPED = [f"{views.SHOP}/catalog/{cat}/Brand-21/" for cat in CATEGORIES]
+DEEP = [f"{views.SHOP}/catalog/{cat}/Brand-{n}/" for cat in CATEGORIES for n in (11, 13, 22)]
+
+
+def whole_harvest(spark, sf_dir):
+    menus = views.menu_pages(spark, sf_dir).withColumn("url", F.lit(views.SHOP + "/"))
+    products = views.product_pages(spark, sf_dir)
+    return harvesting.harvest(menus, views.listing_pages(spark, sf_dir), products, SKIPPED, DEEP, depth_one_only=True)
+
+
 @query(
-    """SELECT 'Путь в каталоге: ' || cat || ', ' || sub || ', ' || subsub || CASE WHEN sub = 'Brand#13'
-    THEN '. ERROR: https://shop.example/goods/' || CAST(good_id AS VARCHAR) || '/' ELSE '. ' || title END AS title,
-    CASE WHEN sub = 'Brand#13' THEN '' ELSE code END AS code,
-    CASE WHEN sub = 'Brand#13' THEN '' ELSE CAST(price AS VARCHAR) || 'руб.' END AS price FROM goods""",
+    """SELECT 'Путь в каталоге: ' || p.cat || ', ' || p.sub || CASE WHEN p.sub IN ('Brand#11', 'Brand#13', 'Brand#22') THEN ', ' || p.subsub ELSE '' END
+    || CASE WHEN gone THEN '. ERROR: ' || good_url ELSE '. ' || title END AS title,
+    CASE WHEN gone THEN '' ELSE code END AS code, CASE WHEN gone THEN '' ELSE CAST(price AS VARCHAR) || 'руб.' END AS price,
+    CASE WHEN gone THEN 'NotFound: no stored page' ELSE coalesce(array_to_string(list_filter(list_transform(
+    string_split(description, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') END AS description,
+    CASE WHEN gone OR description IS NULL THEN '{}' ELSE '{"Бренд":"' || code || '","Размер":"' || p.subsub || '"}' END AS characteristics
+    FROM (SELECT *, sub = 'Brand#13' AS gone FROM placed WHERE sub <> 'Brand#21') p JOIN goods g ON g.good_id = p.good_id""",
+    "placed",
     "goods",
 )
 def sink_goods_table(spark, sf_dir):
     path = shared_folder(spark, "harvest")
-    sinks.sink_goods_table(harvest(spark, sf_dir), path)
-    return spark.read.parquet(path).select("title", "code", "price")
+    sinks.sink_goods_table(whole_harvest(spark, sf_dir), path)
+    found = spark.read.parquet(path).select("title", "code", "price", "description", "characteristics")
+    return found.withColumn("characteristics", fn.fn_json_map(F.col("characteristics")))
 
 
 @query(READ_BACK.format("brief_collection"), "brief_collection")

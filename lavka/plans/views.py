@@ -318,6 +318,9 @@ def product_pages(spark, sf_dir):
     return pages.select(F.col("good_id").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+SHOP = "https://shop.example"
+
+
 def menu_pages(spark, sf_dir):
     """One stored page per category holding its nested menu; the lists grow with
     the number of categories, never with the goods in them."""
@@ -337,6 +340,18 @@ def menu_pages(spark, sf_dir):
     return menu.select(F.xxhash64("cat").alias("page_id"), html.alias("html"))
 
 
+def listing_pages(spark, sf_dir):
+    """A stored page per second and third level, listing its goods, some of them twice."""
+    goods_at = placed(spark, sf_dir)
+    link = F.concat(F.lit('<a class="offer__title" href="'), "good_url", F.lit('">good</a>'))
+    pages = None
+    for path in ("sub_path", "subsub_path"):
+        items = goods_at.groupBy(F.col(path).alias("path")).agg(F.array_join(F.array_sort(F.collect_list(link)), " ").alias("items"))
+        pages = items if pages is None else pages.union(items)
+    html = F.concat(F.lit("<html><body>"), "items", F.lit("<a href='/x'>x</a>"), "items", F.lit("</body></html>"))
+    return pages.select(F.xxhash64("path").alias("page_id"), F.concat(F.lit(SHOP), "path").alias("url"), html.alias("html"))
+
+
 # Outline texts
 
 SQL["outline_parts"] = (
