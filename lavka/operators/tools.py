@@ -87,8 +87,13 @@ def parsed_calls(calls: DataFrame) -> DataFrame:
         text = F.col(f"a.{name}")
         return F.when(text.rlike(whole), F.regexp_replace(text, r"\.0+\s*$", "").try_cast("bigint")).alias(name)
 
+    def text(name: str) -> Column:
+        """A text only if the JSON has one, not a number or other value."""
+        quoted = F.col("args").rlike(rf'"{name}"\s*:\s*"')
+        return F.when(quoted, F.col(f"a.{name}")).alias(name)
+
     return calls.withColumn("a", fn_args_from_json(F.col("args"), ARGS)).select(
-        *calls.columns, "a.ids", "a.vec_query", "a.database_name", number("flag"), number("search_limit")
+        *calls.columns, "a.ids", text("vec_query"), text("database_name"), number("flag"), number("search_limit")
     )
 
 

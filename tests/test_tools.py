@@ -137,6 +137,12 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     assert load() == first | {tuple(r) for r in load_batch(sheet.filter("pos >= 90")).collect()}
 
 
+def test_numbers_are_no_texts(spark):
+    log = [(1, 1, n, tools.SEARCH_TOOL, a) for n, a in enumerate(['{"vec_query": 12, "database_name": "x"}', '{"vec_query" : "12"}'])]
+    calls = spark.createDataFrame(log, "conv_id long, round int, call_idx int, name string, args string")
+    assert [(r.vec_query, r.database_name) for r in tools.parsed_calls(calls).orderBy("call_idx").collect()] == [(None, "x"), ("12", None)]
+
+
 def test_loop_runs_first_calls_of_four_rounds(spark):
     from lavka.plans import retrieval_queries as rq
 
