@@ -8,8 +8,8 @@ query looks at the range of its own key and its neighbours, on every curve.
 Whatever it meets is scored on the original vectors in double precision, and
 the best of all curves are merged.
 
-Directions, scales and cuts are fitted on ``SAMPLED`` rows of smallest id hash;
-every row is indexed. Ranges are a fixed share of all rows: vectors without any
+Directions, scales and cuts are fitted on ``SAMPLED`` rows at most, by a seeded
+draw; every row is indexed. Ranges are a fixed share of all rows: vectors without any
 structure, whose neighbours lie in all directions, need such a share for the
 recall, and the work is then that of the pairs compared.
 
@@ -27,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavka.llm.sampling import sample_of_rows
 from lavka.llm.stored import stored
 
 CURVES = 24
 DIRECTIONS = 4
 BITS = 10
 RANGES = 32
+#: Rows that a range has at least, so that few rows are few ranges.
+LEAST_IN_RANGE = 64
 #: Ranges on either side of the query's own that it looks at.
 REACH = 1
 NEAREST = 20
@@ -68,7 +71,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """Projections, scales and cuts, fitted on a sample of vectors."""
 
-    def __init__(self, sample: np.ndarray, longest: float):
+    def __init__(self, sample: np.ndarray, longest: float, count: int):
         random = np.random.default_rng(SEED)
         size = sample.shape[1] + 1
         self.longest = longest
@@ -78,7 +81,7 @@ class Curves:
         seen = self.lifted(sample) @ self.directions
         self.scales = np.quantile(seen, np.linspace(0, 1, 129), axis=0)
         keys = self.keys(seen)
-        shares = np.linspace(0, 1, RANGES + 1)[1:-1]
+        shares = np.linspace(0, 1, min(RANGES, max(count // LEAST_IN_RANGE, 1)) + 1)[1:-1]
         self.cuts = [np.unique(np.quantile(k, shares, method="lower")) for k in keys]
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
@@ -136,11 +139,12 @@ def nearest(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", embedding:
     rows = stored(rows, "vectors")
     spark = rows.sparkSession
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    longest = rows.agg(F.max(length)).first()[0] or 1.0
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLED).select("vector").collect()
+    longest, count = rows.agg(F.max(length), F.count("*")).first()
+    sample = sample_of_rows(rows.select("vector"), SAMPLED).collect()
     if not sample:
         sample = [([0.0] * size,)]
-    curves = spark.sparkContext.broadcast(Curves(np.array([r[0] for r in sample], np.float64), longest))
+    curves = Curves(np.array([r[0] for r in sample], np.float64), longest or 1.0, count)
+    curves = spark.sparkContext.broadcast(curves)
 
     def ranges(query: bool) -> Column:
         @F.arrow_udf("array<int>")
