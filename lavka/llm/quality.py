@@ -26,9 +26,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavka.llm.sampling import sample_of_rows
 from lavka.llm.stored import stored
 
-#: The model is fitted on so many labelled rows at most, of smallest id hash.
+#: The model is fitted on so many labelled rows at most, by a seeded draw.
 SAMPLED = 20_000
 LEAST_SCORE = 0.5
 FEATURES = ["size", "word", "distinct", "spread", "repeated", "bars", "symbols", "digits", "capitals", "lines", "short", "stops"]
@@ -64,8 +65,8 @@ def form(text: Column) -> dict[str, Column]:
 
 def fitted(rows: DataFrame):
     """The pipeline's two models, or None without labels of both kinds."""
-    sample = rows.filter("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED)
-    sample = stored(sample.select("label", *FEATURES), "sample")
+    sample = sample_of_rows(rows.filter("label IS NOT NULL").select("label", *FEATURES), SAMPLED)
+    sample = stored(sample, "sample")
     if sample.select("label").distinct().count() < 2:
         return None
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(sample)
