@@ -173,9 +173,12 @@ class MenuWalker(Walker):
 NO_FIELDS = {"title": "", "code": "", "price": "", "paragraphs": [], "pairs": []}
 
 
-def read_products(batches: Iterator[pd.DataFrame], selectors: dict) -> Iterator[pd.DataFrame]:
-    """Pages to product fields beside their other columns; a page that fails
-    becomes an error row."""
+def read_products(
+    batches: Iterator[pd.DataFrame], selectors: dict, parts: tuple[str, ...], last_pairs: bool = False
+) -> Iterator[pd.DataFrame]:
+    """Pages to the wanted parts of their product beside their other columns; a
+    page that fails becomes an error row. ``last_pairs`` keeps of each key the last
+    value, at the key's first place."""
     for batch in batches:
         rows = []
         for html in batch["html"]:
@@ -183,7 +186,10 @@ def read_products(batches: Iterator[pd.DataFrame], selectors: dict) -> Iterator[
                 rows.append(ProductWalker(selectors).read(html).fields())
             except Exception as problem:  # one page must not stop the others
                 rows.append({**NO_FIELDS, "error": f"{type(problem).__name__}: {problem}"})
-        names = [*NO_FIELDS, "error"]
+        names = [*parts, "error"]
+        for row in rows if last_pairs else ():
+            last = {pair["key"]: pair for pair in row["pairs"]}
+            row["pairs"] = list(last.values())
         yield batch.drop(columns="html").assign(**{name: [row[name] for row in rows] for name in names})
 
 

@@ -28,34 +28,47 @@ PRODUCT_SELECTORS = {
 OFFER_CLASS = "offer__title"
 MENU_CLASS, SUBMENU_LIST_CLASS, SUBMENU_CLASS = "sidebar-menu__link", "sidebar-submenu", "sidebar-submenu__link"
 
-_PRODUCT_SCHEMA = (
-    "title string, code string, price string, paragraphs array<string>, "
-    "pairs array<struct<key:string,value:string>>, error string"
-)
+_PRODUCT_PARTS = {
+    "title": "string",
+    "code": "string",
+    "price": "string",
+    "paragraphs": "array<string>",
+    "pairs": "array<struct<key:string,value:string>>",
+}
 _MENU_SCHEMA = "page_id long, ancestor_path string, href string, text string, depth int, pos int"
 
 
 # Page extraction
 
 
-def page_products(pages: DataFrame, selectors: dict = PRODUCT_SELECTORS, key: str = "page_id") -> DataFrame:
-    """All product parts of a page in one pass; a failing page is an error row."""
+def page_products(
+    pages: DataFrame,
+    selectors: dict = PRODUCT_SELECTORS,
+    key: str = "page_id",
+    parts: tuple[str, ...] = tuple(_PRODUCT_PARTS),
+    last_pairs: bool = False,
+) -> DataFrame:
+    """The wanted product parts of a page in one pass, no others leave the walk;
+    a failing page is an error row."""
     kept = pages.select(key, "html")
-    schema = f"{key} {kept.schema[key].dataType.simpleString()}, {_PRODUCT_SCHEMA}"
-    return kept.mapInPandas(partial(html_pass.read_products, selectors=selectors), schema)
+    listed = "".join(f", {name} {_PRODUCT_PARTS[name]}" for name in parts)
+    schema = f"{key} {kept.schema[key].dataType.simpleString()}{listed}, error string"
+    walk = partial(html_pass.read_products, selectors=selectors, parts=parts, last_pairs=last_pairs)
+    return kept.mapInPandas(walk, schema)
 
 
 def product_fields(pages: DataFrame, selectors: dict = PRODUCT_SELECTORS) -> DataFrame:
-    return page_products(pages, selectors).select("page_id", "title", "code", "price")
+    parts = ("title", "code", "price")
+    return page_products(pages, selectors, parts=parts).select("page_id", *parts)
 
 
 def product_description(pages: DataFrame, selectors: dict = PRODUCT_SELECTORS) -> DataFrame:
-    return page_products(pages, selectors).select("page_id", "paragraphs")
+    return page_products(pages, selectors, parts=("paragraphs",)).select("page_id", "paragraphs")
 
 
 def product_characteristics(pages: DataFrame, selectors: dict = PRODUCT_SELECTORS) -> DataFrame:
     """One row per two-cell table row, in document order."""
-    found = page_products(pages, selectors).select("page_id", F.posexplode("pairs").alias("pos", "pair"))
+    found = page_products(pages, selectors, parts=("pairs",)).select("page_id", F.posexplode("pairs").alias("pos", "pair"))
     return found.select("page_id", "pos", "pair.key", "pair.value")
 
 
@@ -85,13 +98,13 @@ def paragraph_join(rows: DataFrame) -> DataFrame:
 
 def product_records(pages: DataFrame, selectors: dict = PRODUCT_SELECTORS) -> DataFrame:
     """(url, html) to (url, title, code, price, description, characteristics, error)."""
-    return page_products(pages, selectors, key="url").select(
+    return page_products(pages, selectors, key="url", last_pairs=True).select(
         "url",
         "title",
         "code",
         "price",
         fn_join_newline(F.filter("paragraphs", lambda p: p != "")).alias("description"),
-        last_value_map(F.col("pairs")).alias("characteristics"),
+        F.map_from_entries("pairs").alias("characteristics"),
         "error",
     )
 
