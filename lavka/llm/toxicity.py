@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavka.llm.sampling import sample_by_key
 from lavka.llm.stored import stored
 
 #: The model is fitted on so many labelled rows at most.
@@ -35,7 +36,8 @@ MOST_TERMS = 4096
 LEAST_G = 20.0
 NEAREST = 15
 SHOWN = 3
-BLOCK = 64
+#: Examples in one block of the index.
+BLOCK = 512
 #: Distance at which an example's weight is half of that of an equal text.
 SOFTEN = 0.2
 REMEMBERED = 300_000
@@ -87,7 +89,7 @@ def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``label`` of the sample; of repeated labels the largest counts."""
     known = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     own = docs.select("doc_id").dropna().distinct().join(known, "doc_id")
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)
+    chosen = sample_by_key(stored(own, "labelled"), MOST_EXAMPLES, "doc_id")
     texts = docs.join(F.broadcast(chosen), "doc_id")  # at most MOST_EXAMPLES pairs of numbers
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 

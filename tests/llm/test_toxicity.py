@@ -1,10 +1,13 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lavka.llm import toxicity as t
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("block", [16, 64, 512])
+def test_block_max_search_is_exact(monkeypatch, block):
+    monkeypatch.setattr(t, "BLOCK", block)
     rng = np.random.default_rng(3)
     terms = 40
 
