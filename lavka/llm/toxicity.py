@@ -1,27 +1,34 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact cosine of TF-IDF times G weight.
 
 Labelled texts are a bounded sample, ``MOST_EXAMPLES`` rows of smallest id
-hash. Its vocabulary is the words whose share among toxic examples differs
-beyond chance (G-test), which leaves out the bulk of words that say nothing;
-document frequencies for the weights are counted over all documents.
-
-The examples lie in an inverted index with the largest weight of every word in
+hash. Every word of theirs is a term. Document frequencies for the weights are
+counted over all documents; words whose share among toxic examples differs beyond
+chance (G-test) weigh more. Words of no example add to no product and are no terms.
+They are left out of a text's length as well, so similarity is that of the words the
+examples know; which examples are nearest does not depend on it.
+
+Words of many examples make a dense matrix, whose products with a text are taken
+in full. All others lie in an inverted index with the largest weight of every word in
 every block of examples. A text's blocks are visited by falling upper bound
 until no block can hold a nearer example than the nearest found: the result
 is that of comparing with every example. Near examples vote with weight by
 distance, and the votes are calibrated by a logistic curve that is fitted on
-votes for each example by the others. A text that shares no word with the
-vocabulary has the share of toxic ones among such examples.
+votes for each example by the others. A text without any word of the examples
+has the share of toxic ones among examples without words, drawn to that of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +37,16 @@ from lavka.llm.stored import stored
 
 #: The model is fitted on so many labelled rows at most.
 MOST_EXAMPLES = 8192
-#: The vocabulary has so many words at most, those of largest G.
-MOST_TERMS = 4096
-#: A word counts from this G on; by chance one word in 100,000 has it.
-LEAST_G = 20.0
+#: A word of this G weighs twice as much as one of G 0; by chance one word in 100,000 has it.
+TELLING_G = 20.0
 NEAREST = 15
 SHOWN = 3
 #: Examples in one block of the index.
 BLOCK = 512
+#: Words of at least this share of the examples are common ones, those of the dense matrix.
+COMMON = 0.05
+#: Texts scored at once.
+TOGETHER = 256
 #: Distance at which an example's weight is half of that of an equal text.
 SOFTEN = 0.2
 REMEMBERED = 300_000
@@ -58,29 +67,34 @@ def distinct_words(text: Column) -> Column:
     return distinct(text)
 
 
-def term_counts(terms: list[str], text: Column) -> Column:
+def parallel_lists(first: list[list], second: list[list], kinds: tuple[pa.DataType, pa.DataType]) -> list[pa.Array]:
+    ends = np.cumsum([0] + [len(x) for x in first]).astype(np.int32)
+    return [pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x)), k)) for x, k in zip((first, second), kinds)]
+
+
+def term_counts(number: Broadcast, text: Column) -> Column:
     """The vocabulary's words in a text: parallel lists of numbers and counts."""
-    number = {term: n for n, term in enumerate(terms)}
-    kind = pa.struct([("term", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
 
     @F.arrow_udf("struct<term: array<int>, count: array<int>>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers_of = number.value
         known: dict[str, list[int]] = {}
         for batch in batches:
-            found = []
+            terms, times = [], []
             for text in batch.to_pylist():
                 counts: dict[int, int] = {}
-                for stretch in (text or "").split():
+                for stretch, often in Counter((text or "").split()).items():
                     numbers = known.get(stretch)
                     if numbers is None:
-                        numbers = [number[w] for w in words_of(stretch) if w in number]
+                        numbers = [numbers_of[w] for w in words_of(stretch) if w in numbers_of]
                         if len(known) < REMEMBERED:
                             known[stretch] = numbers
                     for n in numbers:
-                        counts[n] = counts.get(n, 0) + 1
+                        counts[n] = counts.get(n, 0) + often
                 order = sorted(counts)
-                found.append({"term": order, "count": [counts[n] for n in order]})
-            yield pa.array(found, kind)
+                terms.append(order)
+                times.append([counts[n] for n in order])
+            yield pa.StructArray.from_arrays(parallel_lists(terms, times, (pa.int32(), pa.int32())), ["term", "count"])
 
     return counted(text)
 
@@ -94,23 +108,20 @@ def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def telling_words(learned: DataFrame) -> list[str]:
-    """The words of largest G statistic against the label, in alphabetic order."""
+def weighed_words(learned: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the examples in alphabetic order, and their G statistic against the label."""
     total, toxic = learned.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not 0 < toxic < total:
-        return []
     seen = learned.select("label", F.explode(distinct_words(F.col("text"))).alias("word"))
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
-
-    def part(observed: Column, row: Column, column: float) -> Column:
-        return F.when(observed > 0, observed * F.log(observed * total / (row * column))).otherwise(0.0)
-
-    n, t = F.col("n"), F.col("t")
-    rest, rest_t = F.lit(total) - n, F.lit(toxic) - t
-    g = part(t, n, toxic) + part(n - t, n, total - toxic)
-    g = 2 * (g + part(rest_t, rest, toxic) + part(rest - rest_t, rest, total - toxic))
-    best = counts.select("word", g.alias("g")).filter(F.col("g") >= LEAST_G)
-    return sorted(row[0] for row in best.orderBy(F.desc("g"), "word").limit(MOST_TERMS).collect())
+    table = counts.toArrow().sort_by("word")  # no more rows than the sample has words
+    n, t = (table[name].to_numpy().astype(np.float64) for name in ("n", "t"))
+    g = np.zeros(len(n))
+    for seen_, row, column in (
+        (t, n, toxic), (n - t, n, total - toxic), (toxic - t, total - n, toxic), (total - n - toxic + t, total - n, total - toxic),
+    ):
+        some = seen_ > 0
+        g[some] += 2 * seen_[some] * np.log(seen_[some] * total / (row[some] * column))
+    return table["word"].to_pylist(), np.maximum(g, 0)
 
 
 @dataclass
@@ -132,6 +143,14 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(len(order)), sizes)
         term = np.concatenate([vectors[n].terms for n in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[n].weights for n in order] or [np.zeros(0)])
+        share = np.bincount(term, minlength=terms) / max(len(order), 1)
+        common = np.flatnonzero(share >= COMMON)
+        self.column = np.full(terms, -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), blocks * BLOCK))
+        often = self.column[term] >= 0
+        self.dense[self.column[term[often]], example[often]] = weight[often]
+        example, term, weight = example[~often], term[~often], weight[~often]
         by_term = np.lexsort((example, term))
         self.example, self.weight = example[by_term], weight[by_term]
         cell = term[by_term] * blocks + self.example // BLOCK
@@ -140,21 +159,34 @@ class BlockMaxIndex:
         self.largest = np.zeros((terms, blocks))
         np.maximum.at(self.largest, (term[by_term], self.example // BLOCK), self.weight)
 
-    def nearest(self, query: Query, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, queries: list[Query]) -> np.ndarray:
+        """The share that common words have in the similarity, by query and example."""
+        wanted = np.zeros((len(queries), len(self.dense)))
+        for row, query in zip(wanted, queries):
+            column = self.column[query.terms]
+            row[column[column >= 0]] = query.weights[column >= 0]
+        return wanted @ self.dense
+
+    def nearest(
+        self, query: Query, without: int | None = None, common: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of similarity above 0 and their similarity, by
         falling similarity, ties by id; ``without`` is an id left out."""
-        bound = query.weights @ self.largest[query.terms]
+        common = self.common([query])[0] if common is None else common
+        rare = self.column[query.terms] < 0
+        terms, weights = query.terms[rare], query.weights[rare]
+        bound = common.reshape(self.blocks, -1).max(1) + weights @ self.largest[terms]
         found = np.zeros(0, np.int64)
         similar = np.zeros(0)
         for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] <= 0 or len(found) == NEAREST and bound[block] < similar[-1] - 1e-12:
                 break
-            sums = np.zeros(BLOCK)
-            for term, weight in zip(query.terms.tolist(), query.weights.tolist()):
-                cell = term * self.blocks + block
-                a, b = self.start[cell], self.start[cell + 1]
-                if b > a:
-                    sums[self.example[a:b] - block * BLOCK] += weight * self.weight[a:b]
+            cell = terms * self.blocks + block
+            size = self.start[cell + 1] - self.start[cell]
+            at = np.arange(size.sum()) + np.repeat(self.start[cell] - np.cumsum(size) + size, size)
+            parts = np.repeat(weights, size) * self.weight[at]
+            own = common[block * BLOCK : (block + 1) * BLOCK]
+            sums = own + np.bincount(self.example[at] - block * BLOCK, parts, len(own))
             hit = np.flatnonzero(sums > 0)
             found = np.concatenate((found, hit + block * BLOCK))
             similar = np.concatenate((similar, np.round(np.minimum(sums[hit], 1.0), 12)))
@@ -191,37 +223,48 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Everything that scoring needs, bounded by the sample and the vocabulary."""
-
-    def __init__(self, rows: list, idf: np.ndarray):
-        self.idf = idf
-        kept = [r for r in rows if r.term]
-        vectors = [self.vector(r.term, r.count_) for r in kept]
-        labels = [r.label for r in kept]
-        self.index = BlockMaxIndex(vectors, [r.doc_id for r in kept], labels, len(idf))
-        silent = [r.label for r in rows if not r.term]
-        overall = sum(r.label for r in rows) / len(rows) if rows else 0.0
-        self.silent = (sum(silent) + overall) / (len(silent) + 1)
-        votes, truth = [], []
-        for vector, row in zip(vectors, kept):
-            near = self.index.nearest(vector, row.doc_id)
-            if len(near[0]):
-                votes.append(self.index.vote(*near))
-                truth.append(row.label)
-        self.slope, self.shift = fitted_curve(np.array(votes), np.array(truth, np.float64))
-
-    def vector(self, terms: list[int], counts: list[int]) -> Query:
-        number = np.array(terms, np.int64)
-        weights = (1 + np.log(np.array(counts, np.float64))) * self.idf[number]
-        return Query(number, weights / np.linalg.norm(weights))
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
+    """Everything that scoring needs, bounded by the sample and its words."""
+
+    def __init__(self, examples: pa.Table, weight: np.ndarray):
+        self.examples, self.weight = examples, weight
+        self.slope, self.shift = 1.0, 0.0
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Built by each process for itself, as it is several times as large as the examples."""
+        rows = zip(slices(self.examples["term"]), slices(self.examples["count"]))
+        vectors = [self.vector(*row) if len(row[0]) else None for row in rows]
+        ids, labels = self.examples["doc_id"].to_pylist(), self.examples["label"].to_pylist()
+        kept = [n for n, vector in enumerate(vectors) if vector]
+        return BlockMaxIndex([vectors[n] for n in kept], [ids[n] for n in kept], [labels[n] for n in kept], len(self.weight))
+
+    @cached_property
+    def silent(self) -> float:
+        labels = self.examples["label"].to_pylist()
+        without = [label for label, terms in zip(labels, slices(self.examples["term"])) if not len(terms)]
+        overall = sum(labels) / len(labels) if labels else 0.0
+        return (sum(without) + overall) / (len(without) + 1)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Query:
+        weights = (1 + np.log(counts)) * self.weight[terms]
+        return Query(terms.astype(np.int64), weights / np.linalg.norm(weights))
+
+    def nearest(self, rows: Iterable, without: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The nearest examples of each row of terms and counts; null where there are none."""
+        rows = list(rows)
+        for start in range(0, len(rows), TOGETHER):
+            part = rows[start : start + TOGETHER]
+            vectors = [self.vector(*row) if len(row[0]) else None for row in part]
+            common = iter(self.index.common([v for v in vectors if v]))
+            for at, vector in enumerate(vectors, start):
+                near = vector and self.index.nearest(vector, without and without[at], next(common))
+                yield near if near and len(near[0]) else None
+
+    def score(self, near: tuple[np.ndarray, np.ndarray] | None) -> tuple[float, list[dict]]:
         """The calibrated share and the nearest examples as evidence."""
-        if not terms:
-            return self.silent, []
-        found, similar = self.index.nearest(self.vector(terms, counts))
-        if not len(found):
+        if near is None:
             return self.silent, []
+        found, similar = near
         at = self.slope * float(logit(np.array(self.index.vote(found, similar)))) + self.shift
         shown = zip(found[:SHOWN], similar[:SHOWN])
         evidence = [
@@ -231,6 +274,14 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(at, -30, 30)))), evidence
 
 
+def slices(lists: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """Each row of a column of lists of numbers."""
+    for chunk in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
+        values, start = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
+            yield values[a:b]
+
+
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, label: int>>"
 
 
@@ -245,18 +296,30 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learned"))
     learned = stored(learned_rows(docs.filter("learned"), labels), "learned")
-    terms = telling_words(learned)
-    counted = docs.select("doc_id", "learned", term_counts(terms, F.col("text")).alias("found"))
+    terms, g = weighed_words(learned)
+    number = spark.sparkContext.broadcast({term: n for n, term in enumerate(terms)})
+    found = term_counts(number, F.col("text")).alias("found")
+    counted = docs.select("doc_id", "learned", found)
     counted = stored(counted.select("doc_id", "learned", "found.term", "found.count"), "terms")
     total = counted.count()
-    seen = counted.select(F.explode("term").alias("term")).groupBy("term").count().collect()  # a row per term
-    idf = np.ones(len(terms))
-    for term, documents in seen:
-        idf[term] = 1 + np.log((1 + total) / (1 + documents))
-    own = learned.select("doc_id", F.col("label").cast("int").alias("label"))
-    examples = own.join(counted.filter("learned"), "doc_id").dropDuplicates(["doc_id"])
-    rows = examples.select("doc_id", "label", "term", F.col("count").alias("count_")).collect()
-    model = spark.sparkContext.broadcast(Model(rows, idf))
+    seen = counted.select(F.explode("term").alias("term")).groupBy("term").count().toArrow()  # a row per term
+    documents = np.zeros(len(terms))
+    documents[seen["term"].to_numpy()] = seen["count"].to_numpy()
+    weight = (1 + np.log((1 + total) / (1 + documents))) * (1 + g / TELLING_G)
+    own = learned.select("doc_id", F.col("label").cast("int").alias("label"), found)
+    examples = stored(own.select("doc_id", "label", "found.term", "found.count"), "examples")
+    fitted = Model(examples.toArrow(), weight)
+    fixed = spark.sparkContext.broadcast(fitted)
+
+    @F.arrow_udf("double")
+    def voted(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, terms_, counts in batches:
+            near = fixed.value.nearest(zip(slices(terms_), slices(counts)), ids.to_pylist())
+            yield pa.array([n and fixed.value.index.vote(*n) for n in near], pa.float64())
+
+    dealt = examples.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    votes = dealt.select("doc_id", voted("doc_id", "term", "count").alias("vote"), "label").dropna().toArrow().sort_by("doc_id")
+    slope, shift = fitted_curve(votes["vote"].to_numpy(), votes["label"].to_numpy().astype(np.float64))
     kind = pa.struct(
         [
             ("score", pa.float64()),
@@ -266,8 +329,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
 
     @F.arrow_udf(f"struct<score: double, evidence: {EVIDENCE}>")
     def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = fixed.value
+        model.slope, model.shift = slope, shift
         for terms_, counts in batches:
-            found = [model.value.score(t, c) for t, c in zip(terms_.to_pylist(), counts.to_pylist())]
+            found = [model.score(near) for near in model.nearest(zip(slices(terms_), slices(counts)))]
             yield pa.array([{"score": s, "evidence": e} for s, e in found], kind)
 
     result = counted.select("doc_id", "learned", scored("term", "count").alias("result"))

@@ -53,3 +53,30 @@ def test_odd_rows(spark):
     none = t.toxicity(docs, labels.filter("false"), F.lit(True)).collect()
     assert {r.score for r in none} == {0.0}
     assert t.toxicity(docs.filter("false"), labels, F.lit(True)).count() == 0
+
+
+def test_copies_of_examples_with_rare_words_find_them(spark):
+    texts = [f"alpha{n} beta{n} gamma{n % 3}" for n in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts)) + [(100 + n, x) for n, x in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int(n % 12 < 4)) for n in range(24)], "doc_id long, label int")
+    found = {r.doc_id: r for r in t.toxicity(docs, labels, F.col("doc_id") < 100).collect()}
+    for n in range(12):
+        first = found[100 + n].evidence[0]
+        assert (first.doc_id, first.label) == (n, int(n < 4)) and first.similarity > 0.999999
+    assert min(found[100 + n].score for n in range(4)) > max(found[100 + n].score for n in range(4, 12))
+
+
+@pytest.mark.parametrize("common", [0.0, 0.2, 2.0])
+def test_common_words_change_no_similarity(monkeypatch, common):
+    monkeypatch.setattr(t, "COMMON", common)
+    monkeypatch.setattr(t, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    dense = rng.random((50, 30)) * (rng.random((50, 30)) < np.linspace(0.05, 0.9, 30))
+    dense[:, 29] += 0.1
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    vectors = [t.Query(np.flatnonzero(row), row[row > 0]) for row in dense]
+    index = t.BlockMaxIndex(vectors, list(range(50)), [n % 2 for n in range(50)], 30)
+    for n, vector in enumerate(vectors):
+        _, near = index.nearest(vector, n)
+        expected = np.sort(np.delete(dense @ dense[n], n))[::-1][: t.NEAREST]
+        assert np.allclose(near, expected)
