@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import merkle
+from lavka.llm import merkle, quality_rules
+from lavka.llm.batches import bounded_batches
 from lavka.llm.registry import query, table
 
 #: Fixed value: rows whose checksum this number divides are tampered with.
@@ -62,3 +63,45 @@ def op11_merkle(spark, sf_dir):
     folded = merkle.folded_root(F.coalesce("row.changed", "leaf"), F.col("siblings"), F.col("sides")).alias("folded_root")
     found = found.select("row.doc_id", "leaf", "subroot", "root", proof, folded)
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+RATES = (("length", "word_chars"), ("symbols", "n_symbols"), ("lines", "n_dup_lines"), ("repeats", "n_repeat_words"))
+QUARTILES = [*((name, q) for name, _ in RATES for q in (1, 3)), ("words", 2)]
+LEVELS = ((2, "lang, source"), (1, "lang, NULL"), (0, "NULL, NULL"))
+
+
+def _far(name: str, count: str) -> str:
+    rate, low, high = f"(1000 * {count} // n_words)", f"q.{name}_1", f"q.{name}_3"
+    allowed = f"{quality_rules.FAR} * greatest({high} - {low}, {quality_rules.LEAST_WIDTH[name]})"
+    return f"pow(greatest({rate} - {high}, {low} - {rate}, 0), 2) * n_words > pow({allowed}, 2) * (n_words + q.words_2)"
+
+
+WORD = r"[^\x20\x09-\x0D]"
+RULES_SQL = rf"""WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS w FROM documents),
+spans AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS times
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+repeats AS (SELECT doc_id, count(DISTINCT spot) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS spot FROM spans WHERE times > 1) GROUP BY doc_id),
+counted AS (SELECT doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM words) LEFT JOIN repeats USING (doc_id)),
+rated AS (SELECT lang, source, 'words' AS rate, n_words AS v FROM counted WHERE n_words > 0
+    {" ".join(f"UNION ALL SELECT lang, source, '{name}', 1000 * {count} // n_words FROM counted WHERE n_words > 0" for name, count in RATES)}),
+celled AS (SELECT lang, source, rate, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS cell, count(*) AS held FROM rated GROUP BY ALL),
+levels AS ({" UNION ALL ".join(f"SELECT {level} AS level, {keys.replace('NULL', 'CAST(NULL AS VARCHAR)')}, rate, cell, sum(held) AS held FROM celled GROUP BY ALL" for level, keys in LEVELS)}),
+upto AS (SELECT *, sum(held) OVER (PARTITION BY level, lang, source, rate ORDER BY cell) AS upto, sum(held) OVER (PARTITION BY level, lang, source, rate) AS total FROM levels),
+quartiles AS (SELECT level, lang, source, max(total) AS total, {", ".join(f"min(cell) FILTER (rate = '{name}' AND 4 * upto >= {q} * total) AS {name}_{q}" for name, q in QUARTILES)}
+    FROM upto GROUP BY level, lang, source),
+ranked AS (SELECT o.lang AS own_lang, o.source AS own_source, u.*, row_number() OVER (PARTITION BY o.lang, o.source ORDER BY u.total < {quality_rules.LEAST_ROWS} AND u.level > 0, u.level DESC) AS nth
+    FROM quartiles o JOIN quartiles u ON u.level = 0 OR u.lang IS NOT DISTINCT FROM o.lang AND (u.level = 1 OR u.source IS NOT DISTINCT FROM o.source AND u.level = 2) WHERE o.level = 2),
+failed AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT ({" OR ".join(_far(name, count) for name, count in RATES)}) AS kept
+FROM failed c LEFT JOIN ranked q ON q.nth = 1 AND q.own_lang IS NOT DISTINCT FROM c.lang AND q.own_source IS NOT DISTINCT FROM c.source"""
+
+
+@query(RULES_SQL)
+def op12_quality_rules(spark, sf_dir):
+    """Each document's counts and whether it passes the rules of its language and source."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.judged(docs).drop("far_out")
