@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavka.llm import merkle, quality_rules
+from lavka.llm import fill_in_middle, merkle, quality_rules
 from lavka.llm.batches import bounded_batches
 from lavka.llm.registry import query, table
 
@@ -105,3 +105,33 @@ def op12_quality_rules(spark, sf_dir):
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judged(docs).drop("far_out")
+
+
+FORMS_SQL = f"""WITH units AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+drawn AS (SELECT doc_id, text, u, len(u) AS n, {", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM units),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fill_in_middle.PLAIN_FROM} THEN 'plain'
+    WHEN h4 % 100 < {fill_in_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts"""
+
+
+@query(FORMS_SQL)
+def op13_fill_in_middle(spark, sf_dir):
+    """Each document's fill-in-the-middle form, and the digests of the example and of the text rebuilt from it."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.fill_in_middle(F.col("text"), fill_in_middle.draws(F.col("doc_id")))
+    rebuilt = fill_in_middle.restored(F.col("made.output"), F.col("made.form"))
+    return docs.select("doc_id", made.alias("made")).select(
+        "doc_id",
+        "made.n",
+        "made.form",
+        F.length("made.prefix").cast("long").alias("prefix_chars"),
+        F.length("made.middle").cast("long").alias("middle_chars"),
+        F.sha2("made.output", 256).alias("output_sha256"),
+        F.sha2(rebuilt, 256).alias("restored_sha256"),
+    )
