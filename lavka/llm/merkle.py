@@ -73,9 +73,9 @@ def height(size: int) -> int:
     return (size - 1).bit_length()
 
 
-def block_levels(digests: list[str], size: int) -> list[list[str]]:
+def block_levels(digests: list[str], size: int, slab: int) -> list[list[str]]:
     """The digests of a block's nodes by level, sent forward from label to label."""
-    top = min(SLAB, height(size))
+    top = min(slab, height(size))
     levels = [digests] + [[] for _ in range(top)]
     queue = [(1, at >> 1, at, digest) for at, digest in enumerate(digests)]  # in order, hence a heap
     while queue[0][0] <= top:
@@ -111,58 +111,58 @@ def by_place(nodes: pa.Table) -> pa.Table:
     return nodes.sort_by("place").combine_chunks()
 
 
-def block_top(nodes: pa.Table) -> pa.Table:
+def block_top(nodes: pa.Table, slab: int) -> pa.Table:
     """The one node of the next slab that a block's nodes lead to."""
     nodes = by_place(nodes)
     size = nodes["size"][0].as_py()
-    top = block_levels(nodes["digest"].to_pylist(), size)[-1]
+    top = block_levels(nodes["digest"].to_pylist(), size, slab)[-1]
     return pa.table(
         {
             "tree": nodes["tree"].slice(0, 1),
-            "place": pa.array([nodes["place"][0].as_py() >> SLAB], pa.int64()),
-            "size": pa.array([-(-size >> SLAB)], pa.int64()),
+            "place": pa.array([nodes["place"][0].as_py() >> slab], pa.int64()),
+            "size": pa.array([-(-size >> slab)], pa.int64()),
             "digest": pa.array(top, pa.string()),
         }
     )
 
 
-def told_nodes(nodes: pa.Table, messages: pa.Table) -> pa.Table:
+def told_nodes(nodes: pa.Table, messages: pa.Table, slab: int) -> pa.Table:
     """The nodes of a block with their siblings up to the root and what all of the tree are told."""
     nodes = by_place(nodes)
-    levels = block_levels(nodes["digest"].to_pylist(), nodes["size"][0].as_py())
+    levels = block_levels(nodes["digest"].to_pylist(), nodes["size"][0].as_py(), slab)
     proofs = block_proofs(levels, messages["siblings"][0].as_py())
     told = messages["told"].combine_chunks().take(pa.array([0] * len(nodes), pa.int64()))
     nodes = nodes.drop_columns("block")
     return nodes.append_column("siblings", pa.array(proofs, pa.list_(pa.string()))).append_column("told", told)
 
 
-def in_blocks(nodes: DataFrame):
-    return nodes.withColumn("block", F.shiftright("place", SLAB)).groupBy("tree", "block")
+def in_blocks(nodes: DataFrame, slab: int):
+    return nodes.withColumn("block", F.shiftright("place", slab)).groupBy("tree", "block")
 
 
-def climbed(leaves: DataFrame) -> list[DataFrame]:
+def climbed(leaves: DataFrame, slab: int) -> list[DataFrame]:
     """The nodes at the foot of every slab, at last one node for each tree."""
     slabs = [leaves]
     while len(slabs) == 1 or (slabs[-1].agg(F.max("size")).first()[0] or 0) > 1:
         nodes = slabs[-1].select("tree", "place", "size", "digest")
-        top = in_blocks(nodes).applyInArrow(block_top, "tree string, place bigint, size bigint, digest string")
+        top = in_blocks(nodes, slab).applyInArrow(lambda block: block_top(block, slab), "tree string, place bigint, size bigint, digest string")
         slabs.append(stored(top, "merkle-slab"))
     return slabs
 
 
-def delivered(slabs: list[DataFrame], messages: DataFrame) -> DataFrame:
+def delivered(slabs: list[DataFrame], messages: DataFrame, slab: int) -> DataFrame:
     """The leaves with their ``siblings`` up to the root, and ``told`` as it came with the messages to the tops."""
     told = messages.schema["told"].dataType.simpleString()
-    for slab in reversed(slabs[:-1]):
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slab.schema)
-        waiting = messages.groupBy("tree", "block")
-        nodes = in_blocks(slab).cogroup(waiting).applyInArrow(told_nodes, f"{schema}, siblings array<string>, told {told}")
-        if slab is not slabs[0]:
+    for foot in reversed(slabs[:-1]):
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in foot.schema)
+        both = in_blocks(foot, slab).cogroup(messages.groupBy("tree", "block"))
+        nodes = both.applyInArrow(lambda own, told_: told_nodes(own, told_, slab), f"{schema}, siblings array<string>, told {told}")
+        if foot is not slabs[0]:
             messages = stored(nodes.select("tree", F.col("place").alias("block"), "siblings", "told"), "merkle-suffixes")
     return nodes
 
 
-def manifest(rows: DataFrame, tree: Column, key: Column, leaf: Column) -> DataFrame:
+def manifest(rows: DataFrame, tree: Column, key: Column, leaf: Column, slab: int = SLAB) -> DataFrame:
     """The Merkle tree over all rows, with every leaf's proof.
 
     The leaves of one value of ``tree`` ascend by ``key`` (null first) and then by ``leaf``; two
@@ -177,15 +177,15 @@ def manifest(rows: DataFrame, tree: Column, key: Column, leaf: Column) -> DataFr
     picked = rows.select(
         tree.cast("string").alias("tree"), key.alias("key"), F.coalesce(leaf, F.lit("")).alias("digest"), F.struct("*").alias("row")
     )
-    slabs = climbed(numbered(picked))
+    slabs = climbed(numbered(picked), slab)
     tops = slabs[-1].select(F.lit("").alias("tree"), F.col("tree").alias("key"), "digest", F.struct("tree").alias("row"))
-    upper = climbed(numbered(tops))
+    upper = climbed(numbered(tops), slab)
     first = F.lit(0).cast("bigint").alias("block")
     none = F.array().cast("array<string>").alias("siblings")
     start = upper[-1].select("tree", first, none, F.struct(F.col("digest").alias("root")).alias("told"))
-    subroots = delivered(upper, start)
+    subroots = delivered(upper, start, slab)
     told = F.struct(F.col("digest").alias("subroot"), "told.root", F.col("place").alias("above")).alias("told")
-    found = delivered(slabs, subroots.select("row.tree", first, "siblings", told))
+    found = delivered(slabs, subroots.select("row.tree", first, "siblings", told), slab)
     levels = F.when(F.col("size") > 1, F.length(F.bin(F.col("size") - 1))).otherwise(0)
     sides = F.col("place") + F.call_function("shiftleft", F.col("told.above"), levels)
     return found.select("row", F.col("digest").alias("leaf"), "told.subroot", "told.root", "siblings", sides.alias("sides"))
