@@ -150,9 +150,10 @@ def limits(counted: DataFrame) -> DataFrame:
 
     own = of(2, "lang", "source")
     own = own.join(of(1, "lang"), F.col("lang_2").eqNullSafe(F.col("lang_1")))
-    own = own.join(of(0), F.lit(True))  # the one row of everything
+    every = found.filter("level = 0").first()  # one row of some ten numbers; none without texts
+    every = F.struct(*[F.lit(every[name] if every else None).cast("bigint").alias(name) for name in names])
     enough = [F.when(F.col(f"of_{level}.held") >= LEAST_ROWS, F.col(f"of_{level}")) for level in (2, 1)]
-    return own.select(F.col("lang_2").alias("lang"), F.col("source_2").alias("source"), F.coalesce(*enough, F.col("of_0")).alias("limits"))
+    return own.select(F.col("lang_2").alias("lang"), F.col("source_2").alias("source"), F.coalesce(*enough, every).alias("limits"))
 
 
 def base_failed() -> Column:

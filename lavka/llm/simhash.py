@@ -149,18 +149,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of smallest id of each class, all columns; of equal ids one row.
+    """One row of each class, all columns: that of smallest id, among equal ids that of smallest
+    text hash. Of a class without any id one row stays in the same way.
 
-    Of a class without any id one row stays.
+    The row is chosen by class, so an id that stands in several classes keeps a row in each. Rows
+    whose id is the only one of its kind are taken by their id; only rows with a repeated id or none need their
+    fingerprint again. Rows travel as one struct beside their id, so no column's name can clash; of a
+    class each task passes on its own first row only.
     """
     prints, classes = near_duplicate_classes(docs, doc_id, text)
-    chosen = classes.select(F.col("component_id").alias(doc_id)).dropna().distinct()
-    order = F.xxhash64(text)
-    by_id = docs.join(chosen, doc_id, "left_semi")
-    by_id = by_id.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id).orderBy(order)))
-    nameless = classes.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    unnamed = docs.filter(F.col(doc_id).isNull()).withColumn("_fp", fingerprint(F.col(text)))
-    unnamed = unnamed.join(nameless, "_fp")
-    unnamed = unnamed.withColumn("_n", F.row_number().over(Window.partitionBy("_root").orderBy(order)))
-    kept = by_id.filter("_n = 1").select(docs.columns)
-    return kept.unionByName(unnamed.filter("_n = 1").select(docs.columns))
+    names = classes.select(F.col("component_id").alias("key")).distinct()
+    times = prints.groupBy(F.col("doc_id").alias("key")).agg((F.count("*") > 1).alias("several"))
+    same = F.col("key").eqNullSafe(F.col("own"))
+    chosen = stored(names.join(times.withColumnRenamed("key", "own"), same).select("key", F.col("several") | F.col("key").isNull()), "chosen")
+    chosen = chosen.toDF("key", "several")
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"))
+    single = whole.join(chosen.filter("not several"), same, "left_semi")
+    others = whole.join(chosen.filter("several"), same, "left_semi").withColumn("fp", fingerprint(F.col(f"row.`{text}`")))
+    placed = others.join(classes, "fp").filter(F.col("own").eqNullSafe(F.col("component_id")))
+    order = Window.partitionBy("root").orderBy(F.xxhash64(f"row.`{text}`"), F.col("fp"))
+    first = placed.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return single.select("row.*").unionByName(first.select("row.*"))

@@ -57,17 +57,28 @@ def test_odd_rows(spark):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(texts)
     by_id = {(r.doc_id, r.component_id) for r in found}
-    assert {(4, 2), (2, 2), (9, 2), (None, 2), (None, None), (7, 6), (8, 6), (6, 6), (5, 5), (30, 30), (31, 30)} <= by_id
+    assert {(4, 2), (2, 2), (9, 2), (None, 2), (None, None), (7, 6), (8, 6), (6, 6), (5, 5), (30, 30), (31, 30), (40, 2)} <= by_id
     assert {r.fingerprint for r in found if r.doc_id in (6, 7, 8)} == {"0" * 16}
     kept = simhash.one_of_each_class(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [
-        (False, 2), (False, 5), (False, 6), (False, 30), (False, 40), (True, None)
+        (False, 2), (False, 5), (False, 6), (False, 30), (True, None)
     ]
     empty = docs.filter("false")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each_class(empty).count() == 0
 
 
+def test_a_repeated_id_keeps_a_row_in_each_class(spark):
+    a, b = " ".join(f"alpha{n}" for n in range(60)), " ".join(f"beta{n * 7}" for n in range(60))
+    rows = [(2, a, 6, "p"), (2, b, 5, "q"), (3, a, 4, "r"), (2, a, 3, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, _fp string")
+    kept = simhash.one_of_each_class(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, a), (2, b)]
+    assert {tuple(r) for r in kept} <= set(rows)
+    clash = spark.createDataFrame([(1, a, 9, 8, 7), (2, a, 6, 5, 4)], "doc_id long, text string, fp int, root int, component_id int")
+    assert [tuple(r) for r in simhash.one_of_each_class(clash).collect()] == [(1, a, 9, 8, 7)]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     rng = random.Random(1)
     order = rng.sample(range(300), 300)
