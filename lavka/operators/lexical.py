@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavka.operators.ranking import best_hits, k_best
-from lavka.operators.scoring import TermScores
+from lavka.operators import postings
+from lavka.operators.postings import Postings
+from lavka.operators.ranking import k_best
+from lavka.session import stored
 
 RRF_CONSTANT = 60
-LIST_LENGTH = 50  # hits per list that enter a fusion
+LIST_LENGTH = 50  # hits that a keyword search returns unless told otherwise
 
 
 def tokens(text: Column) -> Column:
@@ -56,76 +56,55 @@ def chunk_id() -> Column:
     )
 
 
-def _tokenised(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.col("chunk_id").alias("id"), tokens(F.col("content")).alias("tokens"))
+def text_index(chunks: DataFrame, path: str | None = None, **options) -> Postings:
+    """The stored index of (chunk_id, content), below ``path`` or in the shared folder."""
+    tokenised = chunks.select(F.col("chunk_id").alias("id"), tokens(F.col("content")).alias("tokens"))
+    if path is None:
+        return postings.indexed(tokenised, **options)
+    postings.write_postings(tokenised, path, **options)
+    return postings.open_postings(chunks.sparkSession, path, options.get("buckets", postings.BUCKETS))
 
 
-WHOLE = ""  # stands for the corpus itself among the counted terms, as no token is empty
+def _search(queries: DataFrame, corpus: DataFrame | Postings, kinds: tuple[str, ...], k1: float = 1.2, b: float = 0.75, **options):
+    """The queries (query_id, text) prepared against an index; chunks are indexed first."""
+    index = corpus if isinstance(corpus, Postings) else text_index(corpus)
+    asked = queries.select("query_id", tokens(F.col("text")).alias("tokens"))
+    return postings.prepared(asked, index, kinds, k1, b, **options)
 
 
-def _weighted_queries(queries: DataFrame, corpus: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
-    """(query_id, text) to one row per query and kind of ranking with its terms,
-    their idf-weighted counts and the corpus mean length.
+def lexical_bm25(
+    queries: DataFrame, corpus: DataFrame | Postings, k: int = LIST_LENGTH, k1: float = 1.2, b: float = 0.75, **options
+) -> DataFrame:
+    """BM25: (query_id, id, score, rank) of the k best chunks per query."""
+    hits = postings.best_chunks(_search(queries, corpus, ("bm25",), k1, b, **options), k)
+    return hits.select("query_id", "id", "score", "rank")
 
-    One pass over the corpus counts all terms, the number of chunks and their
-    tokens. Terms are counted before they are joined, each task combining its
-    own, so a term of every chunk costs no more than a rare one. Terms that no
-    chunk holds take no part.
-    """
-    whole = F.array(F.lit(WHOLE))
-    asked = (
-        queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), whole)).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("times"))
-    )
-    counted = (
-        corpus.select(F.explode(F.concat(F.array_distinct("tokens"), whole)).alias("term"), F.size("tokens").alias("size"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("size").alias("total"))
-    )
-    own = F.col("term") != WHOLE
-    weighted = (
-        asked.join(counted, "term")
-        .groupBy("query_id")
-        .agg(
-            F.array_sort(F.collect_list(F.when(own, F.struct("term", "times", "df")))).alias("t"),  # one query's text
-            F.max(F.when(~own, F.col("df"))).alias("n"),
-            F.max(F.when(~own, F.col("total") / F.col("df"))).alias("mean_size"),
-        )
-        .filter(F.size("t") > 0)
-    )
-    n = F.col("n")
-    weights = {
-        "bm25": lambda t: t["times"] * F.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5)),
-        "tfidf": lambda t: (1 + F.log(t["times"])) * F.log(1 + n / t["df"]),
-    }
-    lists = [F.struct(F.lit(x).alias("kind"), F.transform("t", weights[x]).alias("weights")) for x in kinds]
-    return weighted.select("query_id", "mean_size", F.col("t.term").alias("terms"), F.explode(F.array(*lists)).alias("list")).select(
-        "query_id", "list.kind", "terms", "list.weights", "mean_size", F.lit(k).cast("bigint").alias("k")
-    )
 
+def text_near_search(queries: DataFrame, corpus: DataFrame | Postings, k: int = LIST_LENGTH, **options) -> DataFrame:
+    """Nearest chunks of a text query by TF-IDF cosine: logarithmic counts on
+    both sides, idf on the query's side, both vectors of length one."""
+    hits = postings.best_chunks(_search(queries, corpus, ("tfidf",), **options), k)
+    return hits.select("query_id", "id", "score", "rank")
 
-def _ranked(
-    queries: DataFrame, chunks: DataFrame, kinds: tuple[str, ...], k: int, k1: float = 1.2, b: float = 0.75, **bounds
-) -> DataFrame:
-    """(query_id, kind, id, score, rank): one hit list per query and kind, all
-    from one scan of the corpus after the one that counts the terms."""
-    corpus, keys = _tokenised(chunks), ("query_id", "kind")
-    weighted = _weighted_queries(queries, corpus, kinds, k)
-    return best_hits(weighted, corpus, partial(TermScores, k1=k1, b=b), keys, **bounds)
 
+def fusion_depth(k: int, c: int = RRF_CONSTANT) -> int:
+    """How deep both lists have to be known for the k best of their fusion.
 
-def lexical_bm25(
-    queries: DataFrame, chunks: DataFrame, k: int = LIST_LENGTH, k1: float = 1.2, b: float = 0.75, **bounds
-) -> DataFrame:
-    """BM25: the k best chunks per query."""
-    return _ranked(queries, chunks, ("bm25",), k, k1, b, **bounds).drop("kind")
+    The k first chunks of either list have shares of at least 1 / (c + k) there. A chunk below
+    c + 2k in both lists has less than 2 / (2c + 2k) in sum, so k chunks are before it.
+    """
+    return c + 2 * k
 
 
-def text_near_search(queries: DataFrame, chunks: DataFrame, k: int = LIST_LENGTH, **bounds) -> DataFrame:
-    """Nearest chunks of a text query by TF-IDF cosine: logarithmic counts on
-    both sides, idf on the query's side, both vectors of length one."""
-    return _ranked(queries, chunks, ("tfidf",), k, **bounds).drop("kind")
+def fusion_lists(
+    queries: DataFrame, corpus: DataFrame | Postings, k: int = 5, c: int = RRF_CONSTANT, **options
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, id, rank) by BM25 and by TF-IDF cosine of every chunk that can be among
+    the k best of the fusion, each rank being that among all chunks."""
+    search = _search(queries, corpus, postings.KINDS, **options)
+    hits = stored(postings.best_chunks(search, fusion_depth(k, c)), "hits")
+    ranks = stored(postings.exact_ranks(search, hits), "ranks")
+    return tuple(ranks.filter(F.col("kind") == kind).drop("kind") for kind in postings.KINDS)
 
 
 def hybrid_rank_join(lexical: DataFrame, vector: DataFrame) -> DataFrame:
@@ -153,16 +132,12 @@ def hybrid_top5(fused: DataFrame, k: int = 5) -> DataFrame:
 
 
 def hybrid_search(
-    queries: DataFrame, docs: DataFrame, k: int = 5, length: int = LIST_LENGTH, size: int = 800, overlap: int = 200, **bounds
+    queries: DataFrame, docs: DataFrame | Postings, k: int = 5, c: int = RRF_CONSTANT, size: int = 800, overlap: int = 200, **options
 ) -> DataFrame:
-    """Chunk the texts, rank them by BM25 and by TF-IDF cosine in one scan, and
-    fuse both lists by grouping instead of joining them."""
-    hits = _ranked(queries, static_chunking(docs, size, overlap), ("bm25", "tfidf"), length, **bounds)
-
-    def rank_in(kind: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.col("rank")))
+    """The k best chunks by the fused ranks of BM25 and TF-IDF cosine.
 
-    fused = hits.groupBy("query_id", "id").agg(
-        rank_in("bm25").alias("lexical_rank"), rank_in("tfidf").alias("vector_rank")
-    )
-    return hybrid_top5(fused.withColumn("score", rrf_score()), k)
+    Texts (doc_id, text) are chunked and indexed first; a stored index is searched as it is. The lists have
+    no length: ranks are those among all chunks, and which chunks have to be ranked follows from k.
+    """
+    corpus = docs if isinstance(docs, Postings) else static_chunking(docs, size, overlap)
+    return hybrid_top5(rrf_fusion(*fusion_lists(queries, corpus, k, c, **options), c), k)

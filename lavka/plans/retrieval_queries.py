@@ -112,26 +112,33 @@ def static_chunking(spark, sf_dir):
     return lexical.static_chunking(table(spark, sf_dir, "documents", heavy=True))
 
 
-@query("SELECT query_id, id, score, rank FROM bm25_hits", "bm25_hits")
+@query("SELECT query_id, id, score, rank FROM bm25_ranked WHERE rank <= 50", "bm25_ranked")
 def lexical_bm25(spark, sf_dir):
-    return lexical.lexical_bm25(views.text_queries(spark, sf_dir), static_chunking(spark, sf_dir))
+    """The 50 best chunks of each query."""
+    return lexical.lexical_bm25(views.text_queries(spark, sf_dir), static_chunking(spark, sf_dir), 50)
 
 
-@query("SELECT query_id, id, score, rank FROM tfidf_hits", "tfidf_hits")
+@query("SELECT query_id, id, score, rank FROM tfidf_ranked WHERE rank <= 50", "tfidf_ranked")
 def text_near_search(spark, sf_dir):
-    return lexical.text_near_search(views.text_queries(spark, sf_dir), static_chunking(spark, sf_dir))
+    """The 50 nearest chunks of each query."""
+    return lexical.text_near_search(views.text_queries(spark, sf_dir), static_chunking(spark, sf_dir), 50)
 
 
 def both_lists(spark, sf_dir):
-    return lexical_bm25(spark, sf_dir), text_near_search(spark, sf_dir)
+    """The chunks that can be among the five best, with their ranks among all chunks."""
+    return lexical.fusion_lists(views.text_queries(spark, sf_dir), static_chunking(spark, sf_dir), 5)
 
 
-@query("SELECT query_id, id, lexical_rank, vector_rank FROM fused", "fused")
+# Without any list length: every chunk of the fused lists that five others do not surely precede.
+CANDIDATES = "FROM fused WHERE lexical_rank <= 70 OR vector_rank <= 70"
+
+
+@query(f"SELECT query_id, id, lexical_rank, vector_rank {CANDIDATES}", "fused")
 def hybrid_rank_join(spark, sf_dir):
     return lexical.hybrid_rank_join(*both_lists(spark, sf_dir))
 
 
-@query("SELECT query_id, id, lexical_rank, vector_rank, score FROM fused", "fused")
+@query(f"SELECT query_id, id, lexical_rank, vector_rank, score {CANDIDATES}", "fused")
 def rrf_fusion(spark, sf_dir):
     return lexical.rrf_fusion(*both_lists(spark, sf_dir))
 

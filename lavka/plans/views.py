@@ -522,28 +522,28 @@ SQL["query_terms"] = (
 SQL["chunk_sizes"] = (("chunk_terms",), "SELECT id, sum(tf) AS size, sqrt(sum((1 + ln(tf)) * (1 + ln(tf)))) AS norm FROM chunk_terms GROUP BY id")
 SQL["corpus_size"] = (("chunks", "chunk_sizes"), "SELECT (SELECT count(*) FROM chunks) AS n, (SELECT sum(size) FROM chunk_sizes) / (SELECT count(*) FROM chunks) AS mean_size")
 SQL["term_df"] = (("chunk_terms",), "SELECT term, count(*) AS df FROM chunk_terms GROUP BY term")
-SQL["bm25_hits"] = (
+SQL["bm25_ranked"] = (
     ("chunk_terms", "query_terms", "chunk_sizes", "corpus_size", "term_df"),
-    """SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+    """SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
     FROM (SELECT query_id, c.id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
     / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))), 6) AS score
     FROM query_terms q JOIN chunk_terms c ON q.term = c.term JOIN term_df d ON d.term = q.term
-    JOIN chunk_sizes s ON s.id = c.id, corpus_size GROUP BY query_id, c.id)) WHERE rank <= 50""",
+    JOIN chunk_sizes s ON s.id = c.id, corpus_size GROUP BY query_id, c.id)""",
 )
-SQL["tfidf_hits"] = (
+SQL["tfidf_ranked"] = (
     ("chunk_terms", "query_terms", "chunk_sizes", "corpus_size", "term_df"),
-    """SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+    """SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
     FROM (SELECT query_id, c.id, round(sum(w / length * (1 + ln(tf)) / norm), 6) AS score
     FROM (SELECT query_id, term, w, sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS length FROM (
     SELECT query_id, q.term, (1 + ln(qtf)) * ln(1 + n / df) AS w
     FROM query_terms q JOIN term_df d ON d.term = q.term, corpus_size)) q
-    JOIN chunk_terms c ON q.term = c.term JOIN chunk_sizes s ON s.id = c.id GROUP BY query_id, c.id)) WHERE rank <= 50""",
+    JOIN chunk_terms c ON q.term = c.term JOIN chunk_sizes s ON s.id = c.id GROUP BY query_id, c.id)""",
 )
 SQL["fused"] = (
-    ("bm25_hits", "tfidf_hits"),
+    ("bm25_ranked", "tfidf_ranked"),
     """SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.id, v.id) AS id, l.rank AS lexical_rank, v.rank AS vector_rank,
     round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS score
-    FROM bm25_hits l FULL OUTER JOIN tfidf_hits v ON l.query_id = v.query_id AND l.id = v.id""",
+    FROM bm25_ranked l FULL OUTER JOIN tfidf_ranked v ON l.query_id = v.query_id AND l.id = v.id""",
 )
 
 
