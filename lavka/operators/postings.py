@@ -31,12 +31,14 @@ from lavka.session import shared_folder, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BUCKETS = 64  # folders of terms; more of them leave less to read for few terms
+BUCKETS = 31  # folders of terms; more of them leave less to read where few terms are asked for
 BLOCK = 2048  # chunks of a block
 QUERY_PART = 1024  # queries scored in one group with a block
 FIRST_BLOCKS = 2  # blocks scored before the others are weighed
 SLACK = 1e-6  # scores are rounded to six digits, bounds are not
 MAX_CELLS = 4_000_000  # products at a time: 32 MB
+DENSE_SHARE = 16  # a term with products in one of so many cells is frequent,
+DENSE_TERMS = 256  # and so many frequent terms are multiplied at a time
 
 KINDS = ("bm25", "tfidf")
 
@@ -209,10 +211,29 @@ def prepared(queries: DataFrame, postings: Postings, kinds: tuple[str, ...], k1:
 
 
 def products(scores: np.ndarray, place: np.ndarray, term: np.ndarray, weight: np.ndarray, query: np.ndarray, asked: np.ndarray, own: np.ndarray) -> None:
-    """Add to the cells (place, query) the products of weights over shared terms, some at a time."""
+    """Add to the cells (place, query) the products of weights over shared terms.
+
+    Terms whose products would fill a good part of the cells go through a matrix product, some of them at
+    a time; the products of all others are listed, some at a time.
+    """
+    chunks, queries = scores.shape
+    terms = int(term.max(initial=-1)) + 1
+    held = np.bincount(asked, minlength=terms)
+    often = np.bincount(term, minlength=terms) * held * DENSE_SHARE >= chunks * queries
+    spot = np.where(often, np.cumsum(often) - 1, -1)
+    for start in range(0, int(often.sum()), DENSE_TERMS):
+        own_terms, asked_terms = spot[term] - start, spot[asked] - start
+        here, there = ((x >= 0) & (x < DENSE_TERMS) for x in (own_terms, asked_terms))
+        left, right = np.zeros((chunks, DENSE_TERMS)), np.zeros((DENSE_TERMS, queries))
+        left[place[here], own_terms[here]] = weight[here]
+        right[asked_terms[there], query[there]] = own[there]
+        scores += left @ right
+    rare, others = ~often[term], ~often[asked]
+    place, term, weight = place[rare], term[rare], weight[rare]
+    query, asked, own = query[others], asked[others], own[others]
     order = np.argsort(asked, kind="stable")
     query, own = query[order], own[order]
-    held = np.bincount(asked, minlength=int(term.max(initial=-1)) + 1)
+    held = np.bincount(asked, minlength=terms)
     first = np.cumsum(held) - held
     upto = np.cumsum(held[term])
     flat, start = scores.reshape(-1), 0
@@ -222,7 +243,7 @@ def products(scores: np.ndarray, place: np.ndarray, term: np.ndarray, weight: np
         times = held[term[start:end]]
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         at = np.repeat(first[term[start:end]], times) + within
-        cell = np.repeat(place[start:end], times) * scores.shape[1] + query[at]
+        cell = np.repeat(place[start:end], times) * queries + query[at]
         flat += np.bincount(cell, np.repeat(weight[start:end], times) * own[at], len(flat))
         start = end
 
@@ -254,14 +275,15 @@ def block_scores(rows: pa.Table, asked: pa.Table, kinds: tuple[str, ...], measur
 
 
 def best_of_block(kinds: tuple[str, ...], measure: Measure, k: int, rows: pa.Table, asked: pa.Table) -> pa.Table:
-    """The k best chunks of a block by each kind, with their scores by all kinds."""
+    """The k best chunks of a block by each kind that reach the query's floor, with their scores by all kinds."""
     query, row, by = [], [], []
     if len(asked):
         ids, scores = block_scores(rows, asked, kinds, measure)
         for kind, matrix in scores.items():
+            floors = np.asarray(pc.fill_null(asked[f"floor_{kind}"], 0.0))
             for at in range(len(asked)):
                 column = matrix[:, at]
-                hits = np.flatnonzero(~np.isnan(column))
+                hits = np.flatnonzero(column >= floors[at])
                 if len(hits) > k:
                     hits = hits[column[hits] >= -np.partition(-column[hits], k - 1)[k - 1]]
                 hits = hits[np.lexsort((ids[hits], -column[hits]))][:k]
@@ -325,8 +347,10 @@ def best_chunks(search: Search, k: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc(f"bound_{kind}"), "block")
         return search.bounds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= FIRST_BLOCKS).select("query_id", "block")
 
-    started = stored(reduce(DataFrame.union, [first(kind) for kind in kinds]).distinct(), "first-blocks")
-    early = stored(over_blocks(search, started, run, schema), "first-hits")
+    floors = [f"floor_{kind}" for kind in kinds]
+    started = reduce(DataFrame.union, [first(kind) for kind in kinds]).distinct()
+    unknown = [F.lit(None).cast("double").alias(name) for name in floors]
+    early = stored(over_blocks(search, started.select("*", *unknown), run, schema), "first-hits")
     own = F.coalesce(*[F.when(F.col("kind") == kind, F.col(kind)) for kind in kinds])
     early = early.withColumn("score", own).withColumn("k", F.lit(k))
     last = k_best(early, ("query_id", "kind"), k).filter("rank = k")
@@ -335,7 +359,7 @@ def best_chunks(search: Search, k: int) -> DataFrame:
     for kind in kinds:
         may_reach = may_reach | F.col(f"floor_{kind}").isNull() | (F.col(f"bound_{kind}") >= F.col(f"floor_{kind}") - SLACK)
     left = search.bounds.join(started, ["query_id", "block"], "left_anti").join(floor, "query_id", "left").filter(may_reach)
-    late = over_blocks(search, left.select("query_id", "block"), run, schema).withColumn("score", own).withColumn("k", F.lit(k))
+    late = over_blocks(search, left.select("query_id", "block", *floors), run, schema).withColumn("score", own).withColumn("k", F.lit(k))
     return k_best(early.unionByName(late), ("query_id", "kind"), k).drop("k")
 
 

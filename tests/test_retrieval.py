@@ -133,12 +133,13 @@ def brute_text(docs, queries, kind, k):
     return expected
 
 
-@pytest.mark.parametrize("bounds", [{}, {"block_queries": 5}])
+@pytest.mark.parametrize("options", [{}, {"block": 16}])
 @pytest.mark.parametrize("kind", ["bm25", "tfidf"])
-def test_text_ranking_equals_brute_force(texts, kind, bounds):
+def test_text_ranking_equals_brute_force(texts, kind, options):
     chunks, queries, docs, plain = texts
     search = lexical.lexical_bm25 if kind == "bm25" else lexical.text_near_search
-    rows = search(queries, chunks, 12, **bounds).orderBy("query_id", "rank").collect()
+    parts = {"part": 5} if options else {}  # several groups of queries for a block
+    rows = search(queries, lexical.text_index(chunks, **options), 12, **parts).orderBy("query_id", "rank").collect()
     got = {}
     for r in rows:
         got.setdefault(r.query_id, []).append(r.id)
