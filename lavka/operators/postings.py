@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavka.operators.ranking import k_best
+from lavka.operators.scoring import best_cells
 from lavka.session import shared_folder, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -276,26 +277,19 @@ def block_scores(rows: pa.Table, asked: pa.Table, kinds: tuple[str, ...], measur
 
 def best_of_block(kinds: tuple[str, ...], measure: Measure, k: int, rows: pa.Table, asked: pa.Table) -> pa.Table:
     """The k best chunks of a block by each kind that reach the query's floor, with their scores by all kinds."""
-    query, row, by = [], [], []
+    columns = {name: [] for name in ("query_id", "kind", "id", *kinds)}
     if len(asked):
         ids, scores = block_scores(rows, asked, kinds, measure)
         for kind, matrix in scores.items():
-            floors = np.asarray(pc.fill_null(asked[f"floor_{kind}"], 0.0))
-            for at in range(len(asked)):
-                column = matrix[:, at]
-                hits = np.flatnonzero(column >= floors[at])
-                if len(hits) > k:
-                    hits = hits[column[hits] >= -np.partition(-column[hits], k - 1)[k - 1]]
-                hits = hits[np.lexsort((ids[hits], -column[hits]))][:k]
-                query.append(np.full(len(hits), at))
-                row.append(hits)
-                by.extend([kind] * len(hits))
-    query, row = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (query, row))
-    columns = {"query_id": asked["query_id"].take(pa.array(query)), "kind": pa.array(by, pa.string())}
-    columns["id"] = pa.array(ids[row] if len(asked) else [], pa.int64())
-    for kind in kinds:
-        columns[kind] = pa.array(scores[kind][row, query] if len(asked) else [], pa.float64())
-    return pa.table(columns)
+            floors = np.asarray(asked[f"floor_{kind}"].combine_chunks().fill_null(0.0))
+            query, row = best_cells(matrix, ids, np.full(len(asked), k), floors)
+            found = {x: pa.array(scores[x][row, query]) for x in kinds}
+            found |= {"query_id": asked["query_id"].combine_chunks().take(pa.array(query)), "id": pa.array(ids[row])}
+            found["kind"] = pa.array([kind] * len(row), pa.string())
+            for name, values in found.items():
+                columns[name].append(values)
+    kind = {"query_id": asked["query_id"].type, "kind": pa.string(), "id": pa.int64()}
+    return pa.table({name: pa.chunked_array(parts, kind.get(name, pa.float64())) for name, parts in columns.items()})
 
 
 def better_of_block(kinds: tuple[str, ...], measure: Measure, rows: pa.Table, asked: pa.Table) -> pa.Table:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,8 +52,7 @@ class Vectors:
 
 
 class VectorScores:
-    """Cosine of corpus embeddings and query vectors of equal length. With ``probes`` only
-    rows whose ``bucket`` is among a query's probed buckets get a score."""
+    """Cosine of corpus embeddings and query vectors of equal length."""
 
     def __init__(self, queries: pa.Table):
         sizes = np.array([len(v) for v in queries["qvec"].to_pylist()], np.int64)
@@ -62,100 +61,32 @@ class VectorScores:
             int(width): (np.flatnonzero(sizes == width), dense(queries["qvec"].filter(pa.array(sizes == width)), int(width)))
             for width in np.unique(sizes)
         }
-        self.probes = queries["probes"].to_pylist() if "probes" in queries.column_names else None
 
     @staticmethod
     def prepared(batch: pa.RecordBatch) -> tuple:
         """What all blocks of queries need of a batch."""
-        bucket = batch.column("bucket").to_numpy() if "bucket" in batch.schema.names else None
-        return Vectors(batch.column("embedding")), bucket
+        return (Vectors(batch.column("embedding")),)
 
-    def __call__(self, vectors: Vectors, bucket: np.ndarray | None) -> np.ndarray:
+    def __call__(self, vectors: Vectors) -> np.ndarray:
         scores = np.full((len(vectors.column), self.count), np.nan)
         for width, (at, own) in self.vectors.items():
             scores[:, at] = np.round(vectors.of(width) @ own.T, 6)
-        if self.probes is not None:
-            for at, probed in enumerate(self.probes):
-                scores[~np.isin(bucket, probed), at] = np.nan
         return scores
 
 
-def closest_centres(column: pa.Array, units: np.ndarray, count: int) -> pa.Array:
-    """Per vector the numbers of the closest rows of ``units``, null where none is."""
-    near = np.round(dense(column, units.shape[1]) @ units.T, 6)
-    known = ~np.isnan(near).any(axis=1)
-    order = np.argsort(-near, axis=1, kind="stable")[:, :count]
-    return pa.array([list(row) if k else None for row, k in zip(order.tolist(), known.tolist())], pa.list_(pa.int64()))
-
-
-class TermScores:
-    """Sum over shared terms of (query weight x chunk weight). A query row holds
-    its ``kind``, ``terms``, ``weights`` and the corpus mean length
-    ``mean_size``. The chunk weight of ``bm25`` is the saturated count; that of
-    ``tfidf`` is 1 + ln(count) over the chunk's length as a vector, and the
-    query's weights are brought to length one."""
-
-    def __init__(self, queries: pa.Table, k1: float, b: float):
-        terms, kinds = queries["terms"].combine_chunks(), np.array(queries["kind"].to_pylist())
-        self.width, self.k1, self.b = len(queries), k1, b
-        self.mean_size = queries["mean_size"][0].as_py()
-        self.vocabulary = pc.unique(terms.flatten())
-        term = pc.index_in(terms.flatten(), value_set=self.vocabulary).to_numpy()
-        query = np.repeat(np.arange(self.width), pc.list_value_length(terms).to_numpy())
-        weight = queries["weights"].combine_chunks().flatten().to_numpy()
-        length = np.sqrt(np.bincount(query, weight * weight, self.width))
-        weight = np.where(kinds[query] == "tfidf", weight / length[query], weight)
-        # per kind, the queries holding a term and their weights, ordered by term
-        self.kinds = {}
-        for kind in np.unique(kinds):
-            order = np.argsort(np.where(kinds[query] == kind, term, len(self.vocabulary)), kind="stable")
-            order = order[: (kinds[query] == kind).sum()]
-            held = np.bincount(term[order], minlength=len(self.vocabulary))
-            self.kinds[kind] = held, np.cumsum(held) - held, query[order], weight[order]
-
-    @staticmethod
-    def prepared(batch: pa.RecordBatch) -> tuple:
-        """Distinct tokens of the batch; per chunk and token its count."""
-        tokens = batch.column("tokens")
-        sizes = pc.list_value_length(tokens).to_numpy()
-        coded = pc.dictionary_encode(tokens.flatten())
-        width = max(len(coded.dictionary), 1)
-        cells = np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy()
-        cells, counts = np.unique(cells, return_counts=True)
-        return coded.dictionary, sizes, *np.divmod(cells, width), counts
-
-    def __call__(self, names, sizes, row, code, counts) -> np.ndarray:
-        term = pc.fill_null(pc.index_in(names, value_set=self.vocabulary), -1).to_numpy()[code]
-        asked = term >= 0
-        scores = np.zeros(len(sizes) * self.width)
-        for kind, holders in self.kinds.items():
-            weight = self.chunk_weight(kind, row, counts, sizes)
-            self.add_products(scores, row[asked], term[asked], weight[asked], *holders)
-        scores = scores.reshape(len(sizes), self.width)
-        return np.where(scores > 0, np.round(scores, 6), np.nan)
-
-    def chunk_weight(self, kind: str, row: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        if kind == "tfidf":
-            weight = 1 + np.log(counts)
-            return weight / np.sqrt(np.bincount(row, weight * weight, len(sizes)))[row]
-        size = sizes[row] / self.mean_size
-        return counts * (self.k1 + 1) / (counts + self.k1 * (1 - self.b + self.b * size))
-
-    def add_products(self, scores, row, term, weight, held, first, query, query_weight) -> None:
-        """Add to each (row, query) cell the products over their shared terms, as
-        many at a time as memory is set aside for."""
-        upto = np.cumsum(held[term])
-        start = 0
-        while start < len(term):
-            base = upto[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(upto, base + MAX_CELLS, "right")))
-            part = slice(start, end)
-            times = held[term[part]]
-            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            at = np.repeat(first[term[part]], times) + within
-            cell = np.repeat(row[part], times) * self.width + query[at]
-            scores += np.bincount(cell, np.repeat(weight[part], times) * query_weight[at], len(scores))
-            start = end
+def best_cells(scores: np.ndarray, ids: np.ndarray, k: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row numbers of each query's k best rows (score descending, id ascending) that reach its
+    floor; ``scores`` has a column for each query, nan where a row takes no part."""
+    query, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(scores.shape[1]):
+        column, most = scores[:, at], int(k[at])
+        hits = np.flatnonzero(column >= floors[at])
+        if len(hits) > most:
+            hits = hits[column[hits] >= -np.partition(-column[hits], most - 1)[most - 1]]
+        hits = hits[np.lexsort((ids[hits], -column[hits]))][:most]
+        query.append(np.full(len(hits), at))
+        row.append(hits)
+    return np.concatenate(query), np.concatenate(row)
 
 
 class BestHits:
@@ -194,42 +125,25 @@ class BestHits:
         return self.query, (self.id, self.score, self.k[self.query])
 
 
-class PairStats:
-    """Number, sum and maximum of the scores per query."""
-
-    columns = {"compared": pa.int64(), "total": pa.float64(), "best": pa.float64()}
-
-    def __init__(self, k: np.ndarray):
-        self.count, self.total = np.zeros(len(k), np.int64), np.zeros(len(k))
-        self.best = np.full(len(k), -np.inf)
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        known = ~np.isnan(scores)
-        self.count += known.sum(axis=0)
-        self.total += np.where(known, scores, 0).sum(axis=0)
-        self.best = np.maximum(self.best, np.where(known, scores, -np.inf).max(axis=0, initial=-np.inf))
-
-    def rows(self) -> tuple:
-        return np.arange(len(self.count)), (self.count, self.total, self.best)
-
-
 def score_blocks(
-    queries: pa.Table, batches: Iterator[pa.RecordBatch], scorer: Callable, keeper: Callable, schema: pa.Schema
+    blocks: list[Broadcast], batches: Iterator[pa.RecordBatch], scorer: Callable, keeper: Callable, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
     """Run every corpus batch past every block of queries, then emit what the
     keepers hold behind the queries' own key columns."""
-    blocks = []
-    for start in range(0, len(queries), QUERY_BLOCK):
-        block = queries.slice(start, QUERY_BLOCK)
-        blocks.append((block, scorer(block), keeper(block["k"].to_numpy())))
+    held = []
+    for sent in blocks:
+        queries = pa.ipc.open_stream(sent.value).read_all()
+        for start in range(0, len(queries), QUERY_BLOCK):
+            block = queries.slice(start, QUERY_BLOCK)
+            held.append((block, scorer(block), keeper(block["k"].to_numpy())))
     rows = MAX_CELLS // QUERY_BLOCK
-    for batch in batches if blocks else ():
+    for batch in batches if held else ():
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
-            ids, prepared = part.column("id").to_numpy(), blocks[0][1].prepared(part)
-            for _, score, kept in blocks:
+            ids, prepared = part.column("id").to_numpy(), held[0][1].prepared(part)
+            for _, score, kept in held:
                 kept.add(ids, score(*prepared))
-    for block, _, kept in blocks:
+    for block, _, kept in held:
         at, values = kept.rows()
         keys = [block[name].combine_chunks().take(pa.array(at)) for name in schema.names[: -len(values)]]
         yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], schema=schema)

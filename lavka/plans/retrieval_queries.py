@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lavka.functions import text as fn
 from lavka.functions.vectors import cosine_score as cosine
-from lavka.operators import goods as ops, lexical, ranking, tools
+from lavka.operators import ann, goods as ops, lexical, ranking, tools
 from lavka.plans import views
 from lavka.plans.registry import query
 from lavka.plans.views import table
@@ -37,8 +37,8 @@ def cosine_score(spark, sf_dir):
 
 
 @query(
-    """SELECT query_id, count(*) AS compared, round(avg(score), 6) AS mean_score, max(score) AS best_score FROM (
-    SELECT query_id, round(list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score
+    """SELECT query_id, count(*) AS compared, round(avg(score), 6) AS mean_score, round(max(score), 6) AS best_score FROM (
+    SELECT query_id, list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score
     FROM queries, embeddings) GROUP BY query_id""",
     "queries",
 )
@@ -71,37 +71,22 @@ def hit_rank(spark, sf_dir):
     return ranking.hit_rank(hits.drop("rank"))
 
 
-views.SQL["centres"] = (
-    (),
-    """SELECT label, list(x ORDER BY place) AS centre FROM (SELECT label, place, avg(x) AS x FROM (
-    SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS place FROM embeddings)
-    GROUP BY label, place) GROUP BY label""",
-)
-NEAREST = """SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, label) AS nth FROM (
-    SELECT {key}, {vector}, label, round(list_dot_product(CAST({vector} AS DOUBLE[]), centre) / sqrt(list_dot_product(centre, centre)), 6) AS score
-    FROM (SELECT {key}, {vector} FROM {table}), centres)"""
-
-
 @query(
-    f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score,
-    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
+    """SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
     SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score
-    FROM ({NEAREST.format(key='query_id', vector='qvec', table='queries')}) q
-    JOIN ({NEAREST.format(key='vec_id', vector='embedding', table='embeddings')}) e
-    ON q.label = e.label AND q.nth <= 4 AND e.nth = 1)) WHERE rank <= 10""",
+    FROM queries, embeddings) QUALIFY rank <= 10""",
     "queries",
-    "centres",
 )
 def ann_search(spark, sf_dir):
-    """The mean vector of each label is a centre."""
+    """Laid out by the mean vector of each label, searched until no bucket can change the result."""
     rows = table(spark, sf_dir, "embeddings", heavy=True)
     cells = rows.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
     means = cells.groupBy("label", "place").agg(F.avg("x").alias("x")).groupBy("label")
     listed = means.agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("c")).orderBy("label")
     centres = [row.x for row in listed.select("c.x").collect()]  # one vector per label
     path = shared_folder(spark, "ann")
-    ranking.write_ann_layout(vectors(spark, sf_dir), path, centres)
-    return ranking.ann_search(views.queries(spark, sf_dir), spark.read.parquet(path), centres, 10, 4)
+    ann.write_ann_layout(vectors(spark, sf_dir), path, centres)
+    return ann.ann_search(views.queries(spark, sf_dir), ann.open_ann_layout(spark, path), 10)
 
 
 # Text ranking

@@ -58,6 +58,22 @@ def test_paired_blocks_give_the_same(vector_tables):
     assert found(paired) == brute(c, q, ks)
 
 
+def operators(frame):
+    return [line.split("(")[0].strip(" +-*:") for line in frame._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+
+
+def test_ten_blocks_are_one_scan(vector_tables, monkeypatch):
+    corpus, queries, c, q, ks = vector_tables
+    many = ranking.vector_topk_batch(queries, corpus, "k", block_queries=3)
+    assert len(list(ranking.query_blocks(ranking._requests(queries, "k"), 3))) == 9
+    assert sum(x.startswith("PythonMapInArrow") or x.startswith("MapInArrow") for x in operators(many)) == 1
+    assert not any(x.startswith("Union") for x in operators(many))
+    assert found(many) == brute(c, q, ks)
+    monkeypatch.setattr(ranking, "SCAN_BYTES", 1000)  # blocks of more bytes than may be sent at once
+    split = ranking.vector_topk_batch(queries, corpus, "k", block_queries=3)
+    assert any(x.startswith("Union") for x in operators(split)) and found(split) == brute(c, q, ks)
+
+
 def test_stats_count_every_pair(vector_tables):
     corpus, queries, c, q, _ = vector_tables
     for bounds in ({}, {"block_queries": 6}):
@@ -69,6 +85,15 @@ def test_stats_count_every_pair(vector_tables):
             assert math.isclose(r.mean_score, np.mean(scores), abs_tol=2e-6)
 
 
+def test_mean_over_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 4.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 2.0, 2.0]), (7, [float("nan"), 1.0])]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = [(1, [1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [1.0] * 5), (4, None), (5, [0.0, 0.0])]
+    queries = spark.createDataFrame(asked, "query_id long, qvec array<float>")
+    found = {r.query_id: (r.compared, r.mean_score, r.best_score) for r in ranking.query_corpus_join(queries, corpus).collect()}
+    assert found == {1: (3, round(1.6 / 3, 6), 1.0), 2: (1, 0.666667, 0.666667)}
+
+
 def test_many_small_batches(spark, vector_tables):
     corpus, queries, c, q, ks = vector_tables
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
@@ -78,21 +103,6 @@ def test_many_small_batches(spark, vector_tables):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_ann_recall(spark, tmp_path):
-    sf = "/root/testdata/sf0.01"
-    corpus = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    queries = views.queries(spark, sf)
-    centres = ranking.ann_centres(corpus, 16)
-    ranking.write_ann_layout(corpus, str(tmp_path / "ann"), centres)
-    laid_out = spark.read.parquet(str(tmp_path / "ann"))
-    exact = {x[:2] for x in found(ranking.vector_topk_batch(queries, corpus, 10))}
-    hits = {n: {x[:2] for x in found(ranking.ann_search(queries, laid_out, centres, 10, n))} for n in (2, 5, 16)}
-    assert hits[16] == exact  # all buckets probed
-    recall = {n: len(exact & h) / len(exact) for n, h in hits.items()}
-    print("recall by probed buckets of 16:", recall)
-    assert recall[2] <= recall[5] and recall[5] > 0.6, recall
-
-
 def words(text):
     return [w for w in "".join(ch if ch.isalnum() else " " for ch in text.lower()).split()]
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lavka.operators import goods as goods_ops
-from lavka.operators import ingest, ranking, tools
+from lavka.operators import ann, ingest, ranking, tools
 from lavka.plans import views
 from lavka.streaming.ingest import ingest_stream, load_batch
 
@@ -196,7 +196,7 @@ def test_thousands_of_centres_plan_at_once(spark):
     rows = views.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     centres = [[float((i * j) % 7 + 1) for i in range(64)] for j in range(4096)]
     start = time.perf_counter()
-    rows.select(ranking.nearest_centres(F.col("embedding"), centres)[0]).explain()
+    rows.select(ann.nearest_centre(F.col("embedding"), centres).bucket).explain()
     assert time.perf_counter() - start < 10
 
 
@@ -221,12 +221,3 @@ def test_lookup_is_pushed_to_the_scan(spark, tmp_path):
     views.goods(spark, SF).write.parquet(str(tmp_path / "goods"))
     text = plan(goods_ops.good_by_id(spark.read.parquet(str(tmp_path / "goods")), 7).select("title"))
     assert "EqualTo(good_id,7)" in text and "ReadSchema: struct<good_id:bigint,title:string>" in text
-
-
-def test_buckets_are_pruned(spark, tmp_path):
-    chunks = views.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    centres = [[float(i == j) for i in range(64)] for j in range(4)]
-    ranking.write_ann_layout(chunks, str(tmp_path / "ann"), centres)
-    one = views.queries(spark, SF).limit(1)
-    text = plan(ranking.ann_search(one, spark.read.parquet(str(tmp_path / "ann")), centres, 5, 1))
-    assert "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [bucket" in text
