@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavka.session import stored
+
 ROWS_PER_PART = 100_000
 
 
@@ -13,15 +15,18 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", r
     hot key's rows dealt over as many parts as they need.
 
     Rows are counted per key first, each task adding up its own. A key of more
-    rows than ``rows_per_part`` gets parts, and its rows in ``few`` a copy for each; all
-    other rows are joined as they are.
+    rows than ``rows_per_part`` gets parts, its rows in turn, whatever they hold, so that equal rows
+    part too; its rows in ``few`` get a copy for each part. The parts are written down before the shuffle, so a
+    repeated task deals as the first one did. All other rows are joined as they are.
     """
-    hot = many.groupBy(key).agg(F.ceil(F.count("*") / rows_per_part).alias("parts")).filter("parts > 1")
-    hot = hot.filter(F.col(key).isNotNull())
-    row = F.struct(*[F.col(c) for c, kind in many.dtypes if not kind.startswith("map")])
-    dealt = many.join(F.broadcast(hot), key, "left")  # at most one row per rows_per_part rows
-    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64(row), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
-    copies = few.join(F.broadcast(hot), key, "left")
-    every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
-    copies = copies.withColumn("part", F.explode(every)).drop("parts")
-    return dealt.join(copies, [key, "part"], how).drop("part")
+    counted = many.groupBy(key).agg(F.ceil(F.count("*") / rows_per_part).alias("__parts"))
+    hot = stored(counted.filter(F.col(key).isNotNull() & (F.col("__parts") > 1)), "hot-keys")
+    if hot.isEmpty():
+        return many.join(few, key, how)
+    known = F.broadcast(hot)  # at most one row per rows_per_part rows
+    turn = F.pmod(F.monotonically_increasing_id(), F.col("__parts")).alias("__part")
+    dealt = stored(many.join(known, key).select(*many.columns, turn), "hot-rows")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)
+    copies = few.join(known, key).withColumn("__part", F.explode(every)).drop("__parts")
+    spread = dealt.join(copies, [key, "__part"], how).drop("__part")
+    return spread.unionByName(many.join(known, key, "left_anti").join(few, key, how))

@@ -16,11 +16,22 @@ from lavka.streaming.ingest import ingest_stream as start_ingest
 # Scans and sinks
 
 
-@query("SELECT p_name AS name, p_type AS unit, p_retailprice AS price FROM part")
-def scan_goods_sheet(spark, sf_dir):
+def parquet_sheet(spark, sf_dir):
     return tables.scan_goods_sheet(spark, f"{sf_dir}/part.parquet", positions=(1, 3, 5))
 
 
+@query("SELECT replace(p_name, ' ', chr(10)) AS name, p_type AS unit, p_retailprice AS price FROM part")
+def scan_goods_sheet(spark, sf_dir):
+    """A CSV export whose cells hold line breaks, commas and quotes."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    number = quoted(F.concat(F.lit('No "'), F.col("p_partkey").cast("string"), F.lit('",\n\n"')))
+    name = quoted(F.replace("p_name", F.lit(" "), F.lit("\n")))
+    cells = [number, F.lit(""), name, F.col("p_brand"), quoted(F.col("p_type")), F.col("p_retailprice").cast("string")]
+    path = shared_folder(spark, "goods-sheet")
+    table(spark, sf_dir, "part").select(F.concat_ws(",", *cells)).write.text(path)
+    return tables.scan_goods_sheet(spark, path, header_lines=0)
+
+
 @query("SELECT good_id, title, code, price, characteristics, description FROM goods", "goods")
 def scan_about_goods(spark, sf_dir):
     path = shared_folder(spark, "about-goods")
@@ -150,7 +161,7 @@ CHUNK = "p_name || '. Единица (измерения) хранения ос
 
 @query(f"SELECT p_name AS name, p_type AS unit, p_retailprice AS price, {CHUNK} || CAST(p_retailprice AS VARCHAR) AS content FROM part")
 def goods_chunk_text(spark, sf_dir):
-    return ops.goods_chunk_text(scan_goods_sheet(spark, sf_dir))
+    return ops.goods_chunk_text(parquet_sheet(spark, sf_dir))
 
 
 WITH_ID = """SELECT good_id AS id, 'ID ' || CAST(good_id AS VARCHAR) || ' ' || title || form

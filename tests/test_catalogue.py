@@ -1,5 +1,10 @@
 """Golden pages, menus and outlines."""
 
+import csv
+import io
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lavka.operators import catalogue as ops
@@ -135,6 +140,44 @@ def test_sheet_headers_go_by_place(spark, tmp_path):
     assert sorted(map(tuple, rows), key=repr) == sorted(own * 3, key=repr)
 
 
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+
+
+def whole_splits(spark):
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("size", [61, 400, 1 << 20])
+def test_sheet_in_many_splits(spark, tmp_path, size):
+    """Cells with line breaks, quotes and commas, some longer than several splits, against a plain reader."""
+    rng = random.Random(size)
+    pieces = ["a", "б", ",", '"', "\n", "\n\n", " ", "x" * 9, "0", '""', "\r\n"]
+    expected, folder = [], tmp_path / "sheets"
+    folder.mkdir()
+    for number, end in enumerate(("\n", "\r\n", "\n")):
+        rows = [["head\nof", "sheet", '"', "", "", ""], ["", "", "", "", "", "second"], ["A", "B", "Name", "D", "Unit", "Price"]]
+        for n in range(60):
+            name = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 2, 5, 60])))
+            rows.append([f"{n}", "".join(rng.choice(pieces) for _ in range(4)), f"n{name}z", "\n" * rng.randrange(3), "шт", f"{n}.5"])
+        text = io.StringIO()
+        csv.writer(text, lineterminator=end, quoting=csv.QUOTE_MINIMAL if number else csv.QUOTE_ALL).writerows(rows)
+        body = text.getvalue() + (end + "  " + end if number < 2 else "")
+        (folder / f"{number}.csv").write_bytes(body.encode())
+        expected += [(r[2], r[4], float(r[5])) for r in rows[3:]]
+    small_splits(spark, size)
+    try:
+        found = tables.scan_goods_sheet(spark, str(folder))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+        if size == 61:
+            splits = tables.csv_records(spark, str(folder)).select("file", "start").distinct().count()
+            assert spark.read.text(str(folder)).rdd.getNumPartitions() > 200 and splits > 50
+    finally:
+        whole_splits(spark)
+
+
 def test_outline_indented_and_quoted(spark, tmp_path):
     (tmp_path / "outline.txt").write_text('    cat Ovens 30\n    "___ subcat Steel 24"\n  "___ ___ subsubcat Small 20",\n  any other line\n')
     lines = tables.scan_outline(spark, str(tmp_path / "outline.txt"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lavka.operators import goods as goods_ops
 from lavka.operators import ann, ingest, ranking, tools
+from lavka.operators.skew import spread_join
 from lavka.plans import views
 from lavka.streaming.ingest import ingest_stream, load_batch
 
@@ -179,8 +180,6 @@ def test_vectors_of_other_lengths_never_score(spark):
 
 
 def test_hot_key_is_dealt_over_parts(spark):
-    from lavka.operators.skew import spread_join
-
     many = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
     few = spark.createDataFrame([(7, "hot"), (0, "cold"), (7, "twice"), (None, "none")], "k long, name string")
     joined = spread_join(many, few, "k", rows_per_part=100)
@@ -190,6 +189,25 @@ def test_hot_key_is_dealt_over_parts(spark):
     assert left.count() == many.join(few, "k", "left_outer").count()
 
 
+def test_equal_rows_of_a_hot_key_part(spark, tmp_path):
+    """300,000 equal requests: every part of the join holds its share of them and no more."""
+    many = spark.range(300_000).select(F.lit("same").alias("cat"), F.lit(1).alias("request_id"))
+    many = many.unionByName(spark.createDataFrame([("rare", 2), (None, 3)], "cat string, request_id int"))
+    few = spark.createDataFrame([("same", 5), ("rare", 6), ("none", 7)], "cat string, search_limit int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        joined = spread_join(many, few, "cat", rows_per_part=10_000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(sizes) == 300_001 and max(sizes) <= 6 * 10_000, sorted(sizes)  # a task may get some parts by chance
+        assert len([n for n in sizes if n >= 10_000]) >= 15
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
 def test_thousands_of_centres_plan_at_once(spark):
     import time
 
