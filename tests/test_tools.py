@@ -9,7 +9,7 @@ from lavka.operators import goods as goods_ops
 from lavka.operators import ann, ingest, ranking, tools
 from lavka.operators.skew import spread_join
 from lavka.plans import views
-from lavka.streaming.ingest import ingest_stream, load_batch
+from lavka.streaming.ingest import ingest_stream, load_batch, loaded_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,21 +121,50 @@ def test_error_budget(spark, bad_at):
     assert sum(counts.values()) == 100 and counts.get("accepted", 0) == len(kept)
 
 
-def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
-    sheet = views.defects(spark, SF).select("pos", "name", "unit", "price")
-    sheet.filter("pos < 90").write.parquet(str(tmp_path / "in"))
-    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-
-    def load():
-        stream = spark.readStream.schema(sheet.schema).parquet(str(tmp_path / "in"))
-        ingest_stream(stream, out, progress).awaitTermination()
-        return {tuple(r) for r in spark.read.parquet(out).select("pos", "content", "state").collect()}
-
-    first = load()
-    assert first == {tuple(r) for r in load_batch(sheet.filter("pos < 90")).collect()}
-    assert load() == first
-    sheet.filter("pos >= 90").write.mode("append").parquet(str(tmp_path / "in"))
-    assert load() == first | {tuple(r) for r in load_batch(sheet.filter("pos >= 90")).collect()}
+def streamed(spark, folder, sheet, portions, corrections=None):
+    """The rows loaded after each portion has arrived, in its turn."""
+    out, progress = str(folder / "out"), str(folder / "progress")
+    sheet.filter("false").write.parquet(str(folder / "again" / "none"))
+    results = []
+    for number, portion in enumerate(portions):
+        portion.write.parquet(str(folder / "in" / str(number)))
+        if corrections is not None and number in corrections:
+            corrections[number].write.parquet(str(folder / "again" / str(number)))
+        stream, again = (spark.readStream.schema(sheet.schema).parquet(str(folder / x / "*")) for x in ("in", "again"))
+        ingest_stream(stream, out, progress, again if corrections is not None else None).awaitTermination()
+        results.append({tuple(r) for r in loaded_rows(spark, out).collect()})
+    return results
+
+
+def test_portions_equal_one_batch(spark, tmp_path):
+    """The budget runs on over portions whose borders lie inside loading batches; repeated ones change nothing."""
+    sheet = views.defects(spark, SF).select("pos", F.when(F.col("pos") % 19 > 0, F.col("name")).alias("name"), "unit", "price")
+    thirds = [sheet.filter("pos < 50"), sheet.filter("pos between 50 and 98"), sheet.filter("pos > 98")]
+    whole = {("", *tuple(r)) for r in load_batch(sheet).collect()}
+    assert {r[3] for r in whole} == {"accepted", "bad", "not_loaded"}
+    found = streamed(spark, tmp_path / "a", sheet, [thirds[0], thirds[0], thirds[1], thirds[2], thirds[1], sheet])
+    assert found[0] == found[1] and found[3] == found[4] == found[5] == whole
+    (once,) = streamed(spark, tmp_path / "b", sheet, [sheet])
+    assert once == whole
+
+
+def test_rejected_rows_come_back(spark, tmp_path):
+    kind = "source string, pos long, name string, unit string, price double"
+    rows = [("x", n, None if n < 8 else f"x{n}", "pc", 1.0) for n in range(70)] + [("y", n, f"y{n}" if n else None, "pc", 2.0) for n in range(40)]
+    rows += [(None, 3, "plain", "pc", 3.0), ("y", None, "no place", "pc", 3.0), ("y", 5, "double", "pc", 3.0)]
+    sheet = spark.createDataFrame(rows, kind)
+    mended = [("x", 2, "mended", "pc", 1.0), ("x", 65, "x65", "pc", 9.0), ("x", 20, "was accepted", "pc", 1.0), ("x", 900, "unknown", "pc", 1.0),
+              ("y", 0, None, "pc", 1.0), ("y", 5, "was accepted", "pc", 1.0)]
+    later = [("y", n, f"y{n}", "pc", 2.0) for n in range(40, 50)] + [("x", n, f"x{n}", "pc", 1.0) for n in range(70, 80)]
+    portions = [sheet, spark.createDataFrame(later, kind), sheet]
+    found = streamed(spark, tmp_path, sheet, portions, {1: spark.createDataFrame(mended, kind), 2: spark.createDataFrame(mended, kind)})
+    first, second, third = ({(r[0], r[1]): (r[2], r[3]) for r in x} for x in found)
+    assert len(first) == 111 == len(found[0]) and second == third
+    assert [first["x", n][1] for n in (0, 7, 8, 29, 30, 69)] == ["bad", "bad", "accepted", "accepted", "not_loaded", "not_loaded"]
+    assert first["y", 0][1] == "bad" and first["y", 39][1] == first["", 3][1] == "accepted"
+    assert second["x", 2][1] == second["x", 65][1] == "accepted" and second["x", 2][0].startswith("mended")
+    assert second["x", 20] == first["x", 20] and second["y", 5] == first["y", 5] and ("x", 900) not in second
+    assert second["y", 0][1] == "bad" and second["y", 45][1] == "accepted" and second["x", 75][1] == "not_loaded"
 
 
 def test_numbers_are_no_texts(spark):
