@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavka.functions.text import (
@@ -22,12 +24,17 @@ from lavka.functions.text import (
     null_to_text,
 )
 from lavka.operators.skew import spread_join
+from lavka.session import stored
 
 # How much of a description a request of one id, or of more, gets.
 ONE_ID_LENGTH, MANY_IDS_LENGTH = 1400, 800
 # Items in the cheap and dear bands, half of the middle band.
 BAND, HALF_BAND = 15, 7
 
+LOOKUP_FOLDERS = 31  # folders of goods stored for look-ups; more of them leave less to read for few ids
+NAMED_IDS = 1000  # ids that are handed to the files by name
+SENT_BYTES = 8 << 20  # stored size of goods that are sent to every task of the requests
+
 
 def chunk_text(name: Column, unit: Column, price: Column) -> Column:
     """Null where the name or the unit is missing."""
@@ -154,18 +161,60 @@ def goods_description_text(goods: DataFrame) -> DataFrame:
     return _priced_as_text(goods).select("good_id", description_text().alias("text"))
 
 
-def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
+class GoodsLookup(NamedTuple):
+    """Goods stored for look-ups: one row per id, in folders by a hash of it."""
+
+    goods: DataFrame
+    folders: int
+
+
+def _folder(good_id: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(good_id), F.lit(folders)).cast("int")
+
+
+def write_goods_lookup(goods: DataFrame, path: str, folders: int = LOOKUP_FOLDERS) -> None:
+    """Store one row for each id below ``path``, of several that which sorts first. Files are sorted by id and
+    hold a Bloom filter of their ids, so a look-up of few ids reads few folders, and of those few row groups."""
+    rows = _priced_as_text(goods).select("good_id", F.struct("title", "code", "price", "characteristics", "description").alias("row"))
+    rows = rows.groupBy("good_id").agg(F.min("row").alias("row")).select("good_id", "row.*")
+    rows = rows.withColumn("folder", _folder(F.col("good_id"), folders)).hint("rebalance", F.col("folder"))
+    writer = rows.sortWithinPartitions("folder", "good_id").write.partitionBy("folder")
+    writer = writer.option("parquet.bloom.filter.enabled#good_id", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
+def open_goods_lookup(spark: SparkSession, path: str, folders: int = LOOKUP_FOLDERS) -> GoodsLookup:
+    return GoodsLookup(spark.read.parquet(path), folders)
+
+
+def goods_of_ids(ids: DataFrame, goods: GoodsLookup) -> DataFrame:
+    """The stored goods whose ``good_id`` is among ``ids``. Only folders that hold one of them are
+    listed; where the ids are few enough to be named, the files' own filters skip most of the rest."""
+    folder = _folder(F.col("good_id"), goods.folders)
+    wanted = ids.groupBy(folder.alias("folder")).agg(F.min("good_id").alias("low"), F.max("good_id").alias("high")).collect()  # one row per folder
+    named = [r.good_id for r in ids.limit(NAMED_IDS + 1).collect()]
+    rows = goods.goods.filter(F.col("folder").isin([r.folder for r in wanted]))
+    if len(named) <= NAMED_IDS:
+        return rows.filter(F.col("good_id").isin(named)).drop("folder")
+    within = F.col("good_id").between(min(r.low for r in wanted), max(r.high for r in wanted))
+    return rows.filter(within).join(ids, "good_id", "left_semi").drop("folder")
+
+
+def descriptions_by_ids(requests: DataFrame, goods: DataFrame | GoodsLookup) -> DataFrame:
     """(request_id, ids array<bigint>) to one row per id in the given order; an
     unknown id keeps its place with an empty text.
 
     The size of a request comes from its array, so no group is formed. Goods
-    nobody asks for are left behind by a semi join, which needs no shuffle while
-    the ids are few, and no more of a description than decides its shortening
-    goes on. An id that a large share of all requests asks for is dealt over
-    several tasks. Of an id stored more than once the row that sorts first is taken.
+    nobody asks for are left behind, at best unread (see ``write_goods_lookup``), and no more of a description
+    than decides its shortening goes on. What is asked for is written once, so its size is known: goods of a
+    proven small size go to the requests, which stay where they are; else both are shuffled by id, an id that
+    a large share of all requests asks for being dealt over several tasks. Of an id stored more than once the
+    row that sorts first is taken.
     """
     asked = requests.select("request_id", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("pos", "good_id"))
-    parts = _priced_as_text(goods).select(
+    ids = stored(asked.select("good_id").filter("good_id is not null").distinct(), "asked-ids")
+    found = goods_of_ids(ids, goods) if isinstance(goods, GoodsLookup) else goods.join(ids, "good_id", "left_semi")
+    needed = _priced_as_text(found).select(
         "good_id",
         "title",
         "code",
@@ -174,11 +223,16 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame) -> DataFrame:
         fn_head(F.col("description"), ONE_ID_LENGTH + 1).alias("description"),
         F.lit(True).alias("known"),
     )
-    needed = parts.join(asked.select("good_id").distinct(), "good_id", "left_semi")
-    row = F.struct(*[c for c in needed.columns if c != "good_id"])
-    needed = needed.groupBy("good_id").agg(F.min(row).alias("row")).select("good_id", "row.*")
-    shortened = clamp_by_request_size(spread_join(asked, needed, "good_id", "left_outer"))
-    return shortened.select(
+    if not isinstance(goods, GoodsLookup):
+        row = F.struct(*[c for c in needed.columns if c != "good_id"])
+        needed = needed.groupBy("good_id").agg(F.min(row).alias("row")).select("good_id", "row.*")
+    needed = stored(needed, "asked-goods")
+    size = needed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size <= SENT_BYTES:
+        joined = asked.join(F.broadcast(needed), "good_id", "left_outer")
+    else:
+        joined = spread_join(asked, needed, "good_id", "left_outer")
+    return clamp_by_request_size(joined).select(
         "request_id",
         "pos",
         "good_id",

@@ -221,16 +221,23 @@ def _cut_body(n: int) -> str:
 SHORT = f"coalesce(rtrim(head || CASE WHEN n_ids = 1 THEN {_cut_body(1400)} ELSE {_cut_body(800)} END, ' ' || chr(10)), '')"
 
 
-@query(
-    f"""SELECT request_id, CAST(pos AS INTEGER) AS pos, c.good_id, {SHORT} AS description FROM clean_ids c
-    LEFT JOIN described d ON d.good_id = c.good_id""",
-    "clean_ids",
-    "described",
-)
+DESCRIBED = f"""SELECT request_id, CAST(pos AS INTEGER) AS pos, c.good_id, {SHORT} AS description FROM clean_ids c
+    LEFT JOIN described d ON d.good_id = c.good_id"""
+
+
+@query(DESCRIBED, "clean_ids", "described")
 def descriptions_by_ids(spark, sf_dir):
     return ops.descriptions_by_ids(clean_requests(spark, sf_dir), views.goods(spark, sf_dir))
 
 
+@query(DESCRIBED, "clean_ids", "described")
+def descriptions_from_lookup(spark, sf_dir):
+    """The same from goods stored for look-ups."""
+    path = shared_folder(spark, "goods-lookup")
+    ops.write_goods_lookup(views.goods(spark, sf_dir), path)
+    return ops.descriptions_by_ids(clean_requests(spark, sf_dir), ops.open_goods_lookup(spark, path))
+
+
 # Tool-call logs
 
 

@@ -218,6 +218,54 @@ def test_hot_key_is_dealt_over_parts(spark):
     assert left.count() == many.join(few, "k", "left_outer").count()
 
 
+def scan_metric(frame, name):
+    """A metric of the only file scan of a frame, after running it."""
+    query = frame._jdf.queryExecution()
+    query.executedPlan().executeCollect()
+    plan = query.executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    assert leaves.size() == 1
+    return leaves.apply(0).metrics().get(name).get().value()
+
+
+def test_lookup_reads_few_files(spark, tmp_path):
+    n = 20_000
+    goods = spark.range(n).selectExpr(
+        "id AS good_id", "concat('t', id) AS title", "'c' AS code", "id / 2 AS price", "'ch' AS characteristics", "repeat('d', 50) AS description"
+    )
+    goods = goods.unionByName(goods.filter("good_id % 1000 = 7").withColumn("title", F.lit("a first one")))
+    goods_ops.write_goods_lookup(goods, str(tmp_path / "lookup"))
+    lookup = goods_ops.open_goods_lookup(spark, str(tmp_path / "lookup"))
+    assert lookup.goods.count() == n
+    files = len(list((tmp_path / "lookup").glob("*/*.parquet")))
+    one = spark.createDataFrame([(7,), (99_999,)], "good_id long")
+    found = goods_ops.goods_of_ids(one, lookup)
+    assert [r.title for r in found.collect()] == ["a first one"]
+    assert files >= 31 and scan_metric(found, "numFiles") <= 2
+    many = spark.range(0, n, 5).withColumnRenamed("id", "good_id")
+    assert goods_ops.goods_of_ids(many, lookup).count() == n // 5
+
+
+@pytest.mark.parametrize("sent", [8 << 20, 0])
+def test_descriptions_by_either_way(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(goods_ops, "SENT_BYTES", sent)
+    requests = [(1, [3]), (2, [3, 5, 99]), (3, []), (4, None), (5, [5, 5])] + [(n, [7, n % 11]) for n in range(10, 60)]
+    asked = spark.createDataFrame(requests, "request_id long, ids array<long>")
+    row = lambda n, title, price: (n, title, f"c{n}", price, None, "long " * 400)
+    goods = [row(n, f"t{n}", n / 4) for n in range(10)] + [row(7, "a", 9.5), row(7, "a", 10.5)]
+    frame = spark.createDataFrame(goods, "good_id long, title string, code string, price double, characteristics string, description string")
+    goods_ops.write_goods_lookup(frame, str(tmp_path / "lookup"))
+    lookup = goods_ops.open_goods_lookup(spark, str(tmp_path / "lookup"))
+    plain = sorted(map(tuple, goods_ops.descriptions_by_ids(asked, frame).collect()))
+    assert sorted(map(tuple, goods_ops.descriptions_by_ids(asked, lookup).collect())) == plain
+    assert len(plain) == 1 + 3 + 2 + 100 and [r for r in plain if r[2] == 99] == [(2, 2, 99, "")]
+    assert {r[3][:9] for r in plain if r[2] == 7} == {"a Артикул"}
+    final = goods_ops.descriptions_by_ids(asked, lookup)
+    if sent:
+        assert "Exchange hashpartitioning" not in plan(final)  # requests stay where they are
+
+
 def test_equal_rows_of_a_hot_key_part(spark, tmp_path):
     """300,000 equal requests: every part of the join holds its share of them and no more."""
     many = spark.range(300_000).select(F.lit("same").alias("cat"), F.lit(1).alias("request_id"))
