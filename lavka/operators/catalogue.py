@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavka.functions import html_pass
-from lavka.functions.links import anchors
+from lavka.functions.links import addresses, anchors
 from lavka.functions.text import (
     PATH_LABEL,
     fn_abs_url,
@@ -132,8 +132,8 @@ def page_links(pages: DataFrame, link_class: str | None = None, within: str | No
 def listing_links(pages: DataFrame, link_class: str | None = OFFER_CLASS) -> DataFrame:
     """Product links of listing pages, absolute, each once in document order.
     Repeats are dropped inside the page's own row: no shuffle."""
-    found = F.filter(anchors(F.col("html"), link_class), lambda a: a["href"] != "")
-    urls = F.array_distinct(F.transform(found, lambda a: fn_abs_url(F.col("url"), a["href"])))
+    found = F.array_distinct(F.filter(addresses(F.col("html"), link_class), lambda href: href != ""))
+    urls = F.array_distinct(F.transform(found, lambda href: fn_abs_url(F.col("url"), href)))
     return pages.select("page_id", F.posexplode(urls).alias("pos", "href"))
 
 
