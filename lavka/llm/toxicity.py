@@ -3,14 +3,14 @@
 Labelled texts are a bounded sample, ``MOST_EXAMPLES`` rows of smallest id
 hash. Every word of theirs is a term. Document frequencies for the weights are
 counted over all documents; words whose share among toxic examples differs beyond
-chance (G-test) weigh more. Words of no example add to no product and are no terms.
-They are left out of a text's length as well, so similarity is that of the words the
-examples know; which examples are nearest does not depend on it.
+chance (G-test) weigh more. Words of no example add to no product and are no terms,
+but they count in a text's length: their document frequencies come from the same documents, and one
+sum for each text is joined to its nearest examples, which are the same for any length.
 
 Words of many examples make a dense matrix, whose products with a text are taken
 in full. All others lie in an inverted index with the largest weight of every word in
-every block of examples. A text's blocks are visited by falling upper bound
-until no block can hold a nearer example than the nearest found: the result
+every block of examples. A text's blocks of highest bound are scored first, and of the others
+those whose bound reaches the nearest found, all at once: the result
 is that of comparing with every example. Near examples vote with weight by
 distance, and the votes are calibrated by a logistic curve that is fitted on
 votes for each example by the others. A text without any word of the examples
@@ -45,8 +45,12 @@ SHOWN = 3
 BLOCK = 512
 #: Words of at least this share of the examples are common ones, those of the dense matrix.
 COMMON = 0.05
+#: Blocks scored before the others are weighed.
+FIRST = 2
 #: Texts scored at once.
 TOGETHER = 256
+#: Words of the examples that the driver and every task can hold; more of them are refused with an error.
+MOST_WORDS = 20_000_000
 #: Distance at which an example's weight is half of that of an equal text.
 SOFTEN = 0.2
 REMEMBERED = 300_000
@@ -72,33 +76,49 @@ def parallel_lists(first: list[list], second: list[list], kinds: tuple[pa.DataTy
     return [pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x)), k)) for x, k in zip((first, second), kinds)]
 
 
+COUNTED = "struct<term: array<int>, count: array<int>, other: array<string>, times: array<int>>"
+
+
 def term_counts(number: Broadcast, text: Column) -> Column:
-    """The vocabulary's words in a text: parallel lists of numbers and counts."""
+    """The words of a text in parallel lists: numbers and counts of the vocabulary's, others and their counts."""
 
-    @F.arrow_udf("struct<term: array<int>, count: array<int>>")
+    @F.arrow_udf(COUNTED)
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers_of = number.value
-        known: dict[str, list[int]] = {}
+        known: dict[str, tuple[list[int], list[str]]] = {}
         for batch in batches:
-            terms, times = [], []
+            lists: list[list] = [[], [], [], []]
             for text in batch.to_pylist():
                 counts: dict[int, int] = {}
+                others: dict[str, int] = {}
                 for stretch, often in Counter((text or "").split()).items():
-                    numbers = known.get(stretch)
-                    if numbers is None:
-                        numbers = [numbers_of[w] for w in words_of(stretch) if w in numbers_of]
+                    found = known.get(stretch)
+                    if found is None:
+                        words = words_of(stretch)
+                        found = [numbers_of[w] for w in words if w in numbers_of], [w for w in words if w not in numbers_of]
                         if len(known) < REMEMBERED:
-                            known[stretch] = numbers
-                    for n in numbers:
+                            known[stretch] = found
+                    for n in found[0]:
                         counts[n] = counts.get(n, 0) + often
+                    for word in found[1]:
+                        others[word] = others.get(word, 0) + often
                 order = sorted(counts)
-                terms.append(order)
-                times.append([counts[n] for n in order])
-            yield pa.StructArray.from_arrays(parallel_lists(terms, times, (pa.int32(), pa.int32())), ["term", "count"])
+                for column, values in zip(lists, (order, [counts[n] for n in order], list(others), list(others.values()))):
+                    column.append(values)
+            own = parallel_lists(*lists[:2], (pa.int32(), pa.int32())) + parallel_lists(*lists[2:], (pa.string(), pa.int32()))
+            yield pa.StructArray.from_arrays(own, ["term", "count", "other", "times"])
 
     return counted(text)
 
 
+def outer_lengths(counted: DataFrame, total: int) -> DataFrame:
+    """``row``, ``outer``: the square of the length that words of no example add to a text's vector."""
+    each = counted.select("row", F.explode(F.arrays_zip("other", "times")).alias("w")).select("row", "w.other", "w.times")
+    documents = each.groupBy("other").agg(F.count("*").alias("documents"))
+    weight = (1 + F.log("times")) * (1 + F.log((1 + F.lit(total)) / (1 + F.col("documents"))))
+    return each.join(documents, "other").groupBy("row").agg(F.sum(weight * weight).alias("outer"))
+
+
 def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``label`` of the sample; of repeated labels the largest counts."""
     known = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -113,7 +133,9 @@ def weighed_words(learned: DataFrame) -> tuple[list[str], np.ndarray]:
     total, toxic = learned.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     seen = learned.select("label", F.explode(distinct_words(F.col("text"))).alias("word"))
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
-    table = counts.toArrow().sort_by("word")  # no more rows than the sample has words
+    table = counts.limit(MOST_WORDS + 1).toArrow().sort_by("word")  # no more rows than the sample has words
+    if len(table) > MOST_WORDS:
+        raise ValueError(f"the labelled texts hold more than {MOST_WORDS} words")
     n, t = (table[name].to_numpy().astype(np.float64) for name in ("n", "t"))
     g = np.zeros(len(n))
     for seen_, row, column in (
@@ -136,6 +158,7 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[Query], ids: list[int], labels: list[int], terms: int):
         lead = [int(v.terms[v.weights.argmax()]) for v in vectors]
         order = sorted(range(len(vectors)), key=lambda n: (labels[n], lead[n], ids[n]))
+        self.scored = 0  # blocks read so far
         self.ids = np.array([ids[n] for n in order], np.int64)
         self.labels = np.array([labels[n] for n in order], np.float64)
         blocks = max(-(-len(order) // BLOCK), 1)
@@ -176,27 +199,44 @@ class BlockMaxIndex:
         rare = self.column[query.terms] < 0
         terms, weights = query.terms[rare], query.weights[rare]
         bound = common.reshape(self.blocks, -1).max(1) + weights @ self.largest[terms]
-        found = np.zeros(0, np.int64)
-        similar = np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(found) == NEAREST and bound[block] < similar[-1] - 1e-12:
-                break
-            cell = terms * self.blocks + block
-            size = self.start[cell + 1] - self.start[cell]
-            at = np.arange(size.sum()) + np.repeat(self.start[cell] - np.cumsum(size) + size, size)
-            parts = np.repeat(weights, size) * self.weight[at]
-            own = common[block * BLOCK : (block + 1) * BLOCK]
-            sums = own + np.bincount(self.example[at] - block * BLOCK, parts, len(own))
-            hit = np.flatnonzero(sums > 0)
-            found = np.concatenate((found, hit + block * BLOCK))
-            similar = np.concatenate((similar, np.round(np.minimum(sums[hit], 1.0), 12)))
-            if without is not None:
-                other = self.ids[found] != without
-                found, similar = found[other], similar[other]
-            order = np.lexsort((self.ids[found], -similar))[:NEAREST]
-            found, similar = found[order], similar[order]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, similar = self.of_blocks(order[:FIRST], terms, weights, common, without)
+        left = order[FIRST:]
+        if len(found) == NEAREST:
+            left = left[bound[left] >= similar[-1] - 1e-12]
+        if len(left):
+            more, near = self.of_blocks(left, terms, weights, common, without)
+            found, similar = self.best(np.concatenate((found, more)), np.concatenate((similar, near)))
         return found, similar
 
+    def of_blocks(
+        self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: np.ndarray, without: int | None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of some blocks, from the postings of those only."""
+        self.scored += len(blocks)
+        cell = (terms[:, None] * self.blocks + blocks).ravel()
+        first = self.start[cell]
+        size = self.start[cell + 1] - first
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        parts = np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at]
+        sums = np.bincount(self.example[at], parts, len(common))
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        sums = sums[rows] + common[rows]
+        hit = np.flatnonzero(sums > 0)
+        found, similar = rows[hit], np.round(np.minimum(sums[hit], 1.0), 12)
+        if without is not None:
+            other = self.ids[found] != without
+            found, similar = found[other], similar[other]
+        return self.best(found, similar)
+
+    def best(self, found: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(found) > NEAREST:
+            enough = similar >= -np.partition(-similar, NEAREST - 1)[NEAREST - 1]
+            found, similar = found[enough], similar[enough]
+        order = np.lexsort((self.ids[found], -similar))[:NEAREST]
+        return found[order], similar[order]
+
     def vote(self, found: np.ndarray, similar: np.ndarray) -> float:
         """The weighted share of toxic ones among the found, drawn a little to a half."""
         weights = SOFTEN / (SOFTEN + 1 - similar)
@@ -233,7 +273,7 @@ class Model:
     def index(self) -> BlockMaxIndex:
         """Built by each process for itself, as it is several times as large as the examples."""
         rows = zip(slices(self.examples["term"]), slices(self.examples["count"]))
-        vectors = [self.vector(*row) if len(row[0]) else None for row in rows]
+        vectors = [self.vector(*row)[0] if len(row[0]) else None for row in rows]
         ids, labels = self.examples["doc_id"].to_pylist(), self.examples["label"].to_pylist()
         kept = [n for n, vector in enumerate(vectors) if vector]
         return BlockMaxIndex([vectors[n] for n in kept], [ids[n] for n in kept], [labels[n] for n in kept], len(self.weight))
@@ -245,35 +285,24 @@ class Model:
         overall = sum(labels) / len(labels) if labels else 0.0
         return (sum(without) + overall) / (len(without) + 1)
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Query:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[Query, float]:
+        """The direction and the length of the examples' words in a text."""
         weights = (1 + np.log(counts)) * self.weight[terms]
-        return Query(terms.astype(np.int64), weights / np.linalg.norm(weights))
+        length = float(np.linalg.norm(weights))
+        return Query(terms.astype(np.int64), weights / length), length
 
-    def nearest(self, rows: Iterable, without: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The nearest examples of each row of terms and counts; null where there are none."""
+    def nearest(self, rows: Iterable, without: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float] | None]:
+        """The nearest examples of each row of terms and counts by the cosine of the examples'
+        words, and the length of these; null where there are none."""
         rows = list(rows)
         for start in range(0, len(rows), TOGETHER):
             part = rows[start : start + TOGETHER]
             vectors = [self.vector(*row) if len(row[0]) else None for row in part]
-            common = iter(self.index.common([v for v in vectors if v]))
+            common = iter(self.index.common([v[0] for v in vectors if v]))
             for at, vector in enumerate(vectors, start):
-                near = vector and self.index.nearest(vector, without and without[at], next(common))
+                near = vector and (*self.index.nearest(vector[0], without and without[at], next(common)), vector[1])
                 yield near if near and len(near[0]) else None
 
-    def score(self, near: tuple[np.ndarray, np.ndarray] | None) -> tuple[float, list[dict]]:
-        """The calibrated share and the nearest examples as evidence."""
-        if near is None:
-            return self.silent, []
-        found, similar = near
-        at = self.slope * float(logit(np.array(self.index.vote(found, similar)))) + self.shift
-        shown = zip(found[:SHOWN], similar[:SHOWN])
-        evidence = [
-            {"doc_id": int(self.index.ids[n]), "similarity": float(s), "label": int(self.index.labels[n])}
-            for n, s in shown
-        ]
-        return 1 / (1 + float(np.exp(-np.clip(at, -30, 30)))), evidence
-
-
 def slices(lists: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """Each row of a column of lists of numbers."""
     for chunk in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
@@ -283,6 +312,7 @@ def slices(lists: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
 
 
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, label: int>>"
+NEAR = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
@@ -299,8 +329,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     terms, g = weighed_words(learned)
     number = spark.sparkContext.broadcast({term: n for n, term in enumerate(terms)})
     found = term_counts(number, F.col("text")).alias("found")
-    counted = docs.select("doc_id", "learned", found)
-    counted = stored(counted.select("doc_id", "learned", "found.term", "found.count"), "terms")
+    counted = docs.select("doc_id", "learned", found).withColumn("row", F.monotonically_increasing_id())
+    counted = stored(counted.select("row", "doc_id", "learned", "found.*"), "terms")  # the numbers of rows are fixed with it
     total = counted.count()
     seen = counted.select(F.explode("term").alias("term")).groupBy("term").count().toArrow()  # a row per term
     documents = np.zeros(len(terms))
@@ -315,25 +345,43 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     def voted(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for ids, terms_, counts in batches:
             near = fixed.value.nearest(zip(slices(terms_), slices(counts)), ids.to_pylist())
-            yield pa.array([n and fixed.value.index.vote(*n) for n in near], pa.float64())
+            yield pa.array([n and fixed.value.index.vote(*n[:2]) for n in near], pa.float64())
 
     dealt = examples.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     votes = dealt.select("doc_id", voted("doc_id", "term", "count").alias("vote"), "label").dropna().toArrow().sort_by("doc_id")
     slope, shift = fitted_curve(votes["vote"].to_numpy(), votes["label"].to_numpy().astype(np.float64))
-    kind = pa.struct(
-        [
-            ("score", pa.float64()),
-            ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))),
-        ]
-    )
+    kind = pa.struct([("near", pa.list_(NEAR)), ("length", pa.float64())])
 
-    @F.arrow_udf(f"struct<score: double, evidence: {EVIDENCE}>")
-    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf(f"struct<near: {EVIDENCE}, length: double>")
+    def searched(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = fixed.value
-        model.slope, model.shift = slope, shift
         for terms_, counts in batches:
-            found = [model.score(near) for near in model.nearest(zip(slices(terms_), slices(counts)))]
-            yield pa.array([{"score": s, "evidence": e} for s, e in found], kind)
-
-    result = counted.select("doc_id", "learned", scored("term", "count").alias("result"))
-    return result.select("doc_id", "learned", "result.score", "result.evidence")
+            sizes, lengths, rows, similar = [], [], [], []
+            for found in model.nearest(zip(slices(terms_), slices(counts))):
+                sizes.append(len(found[0]) if found else 0)
+                lengths.append(found[2] if found else None)
+                if found:
+                    rows.append(found[0])
+                    similar.append(found[1])
+            rows = np.concatenate(rows or [np.zeros(0, np.int64)])
+            columns = [model.index.ids[rows], np.concatenate(similar or [np.zeros(0)]), model.index.labels[rows].astype(np.int32)]
+            near = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(NEAR))
+            ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, near), pa.array(lengths, pa.float64())], fields=list(kind))
+
+    near = counted.select("row", "doc_id", "learned", searched("term", "count").alias("s"))
+    near = near.select("row", "doc_id", "learned", "s.near", (F.col("s.length") * F.col("s.length")).alias("inner"))
+    near = near.join(outer_lengths(counted, total), "row", "left")
+    share = F.sqrt(F.col("inner") / (F.col("inner") + F.coalesce("outer", F.lit(0.0))))
+    whole = F.transform(
+        "near", lambda n: F.struct(n["doc_id"].alias("doc_id"), F.round(n["similarity"] * share, 12).alias("similarity"), n["label"].alias("label"))
+    )
+    near = near.select("doc_id", "learned", whole.alias("near"))
+    pull = F.transform("near", lambda n: SOFTEN / (SOFTEN + 1 - n["similarity"]))
+    toxic = F.transform("near", lambda n: SOFTEN / (SOFTEN + 1 - n["similarity"]) * n["label"])
+    total_of = lambda parts: F.aggregate(parts, F.lit(0.0), lambda done, x: done + x)
+    vote = (total_of(toxic) + 0.05) / (total_of(pull) + 0.1)
+    at = F.lit(slope) * F.log(vote / (1 - vote)) + F.lit(shift)
+    score = 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-30.0))))
+    score = F.when(F.size("near") > 0, score).otherwise(F.lit(fitted.silent))
+    return near.select("doc_id", "learned", score.alias("score"), F.slice("near", 1, SHOWN).alias("evidence"))

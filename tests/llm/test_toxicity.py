@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +84,68 @@ def test_common_words_change_no_similarity(monkeypatch, common):
         _, near = index.nearest(vector, n)
         expected = np.sort(np.delete(dense @ dense[n], n))[::-1][: t.NEAREST]
         assert np.allclose(near, expected)
+
+
+def plain_cosines(rows, labels, learn):
+    """Per document its cosine with each example, over all words, from a plain recount."""
+    bags = [Counter(t.words_of(text)) for _, text in rows]
+    examples = {i: bag for (i, _), bag in zip(rows, bags) if i in labels and learn(i)}
+    df, n = Counter(w for bag in bags for w in bag), len(rows)
+    total, toxic = len(examples), sum(labels[i] for i in examples)
+    vocabulary = {w for bag in examples.values() for w in bag}
+    weight = {w: 1 + math.log((1 + n) / (1 + df[w])) for w in df}
+    for w in vocabulary:
+        seen = sum(w in bag for bag in examples.values())
+        bad = sum(labels[i] for i, bag in examples.items() if w in bag)
+        cells = ((bad, seen, toxic), (seen - bad, seen, total - toxic), (toxic - bad, total - seen, toxic), (total - seen - toxic + bad, total - seen, total - toxic))
+        g = sum(2 * x * math.log(x * total / (row * column)) for x, row, column in cells if x > 0)
+        weight[w] *= 1 + max(g, 0) / t.TELLING_G
+    vector = lambda bag: {w: (1 + math.log(c)) * weight[w] for w, c in bag.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    found = []
+    for bag in bags:
+        own = vector(bag)
+        near = []
+        for i, other in examples.items():
+            theirs = vector(other)
+            product = sum(x * theirs.get(w, 0) for w, x in own.items())
+            if product > 0:
+                near.append((product / length(own) / length(theirs), i))
+        found.append(near)
+    return found
+
+
+def test_evidence_equals_a_plain_recount(spark):
+    rng = random.Random(9)
+    words = [f"w{n}" for n in range(80)] + ["zog", "grumpf"]
+    rows = [(n, " ".join(rng.choices(words, k=rng.randrange(1, 25)) + ["zog"] * (n % 5 == 0))) for n in range(120)]
+    rows += [(n, " ".join(rng.choices(words, k=5) + [f"unseen{n % 140}x{m}" for m in range(n % 9)])) for n in range(120, 180)]
+    rows += [(500, "zog"), (501, "zog " + " ".join(f"new{n}" for n in range(2000)))]
+    labels = {n: int(n % 5 == 0) for n in range(0, 120, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = spark.createDataFrame(list(labels.items()), "doc_id long, label int")
+    found = {r.doc_id: r for r in t.toxicity(docs, frame, F.col("doc_id") < 110).collect()}
+    for (doc_id, _), near in zip(rows, plain_cosines(rows, labels, lambda i: i < 110)):
+        best = sorted(near, key=lambda x: (-round(x[0], 10), x[1]))[: t.SHOWN]
+        shown = [(round(e.similarity, 9), e.label) for e in found[doc_id].evidence]
+        assert [s for s, _ in shown] == pytest.approx([s for s, _ in best], abs=1e-9)
+        assert {e.doc_id for e in found[doc_id].evidence} <= {i for s, i in near if s >= best[-1][0] - 1e-9}
+    alone, among = found[500], found[501]
+    assert among.evidence[0].similarity < alone.evidence[0].similarity / 10 and among.score < alone.score
+
+
+def test_blocks_of_other_words_are_skipped(monkeypatch):
+    monkeypatch.setattr(t, "BLOCK", 32)
+    rng = np.random.default_rng(7)
+    vectors, ids = [], []
+    for topic in range(8):
+        for _ in range(128):
+            terms = np.sort(rng.choice(40, 12, replace=False)) + 40 * topic
+            weight = rng.random(12) + 0.1
+            vectors.append(t.Query(terms, weight / np.linalg.norm(weight)))
+            ids.append(len(ids))
+    index = t.BlockMaxIndex(vectors, ids, [0] * len(ids), 320)
+    assert index.blocks == 32
+    for vector in vectors:
+        index.nearest(vector)
+    assert index.scored / len(vectors) < index.blocks / 2
