@@ -19,19 +19,20 @@ has the share of toxic ones among examples without words, drawn to that of all.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavka.llm.batches import runs
 from lavka.llm.sampling import sample_by_key
 from lavka.llm.stored import stored
 
@@ -56,6 +57,7 @@ SOFTEN = 0.2
 REMEMBERED = 300_000
 
 WORD = regex.compile(r"\w+")
+WORD_OR_END = regex.compile(r"\w+|\n")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,42 +73,76 @@ def distinct_words(text: Column) -> Column:
     return distinct(text)
 
 
-def parallel_lists(first: list[list], second: list[list], kinds: tuple[pa.DataType, pa.DataType]) -> list[pa.Array]:
-    ends = np.cumsum([0] + [len(x) for x in first]).astype(np.int32)
-    return [pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x)), k)) for x, k in zip((first, second), kinds)]
+def parallel_lists(rows: np.ndarray, count: int, *columns: pa.Array) -> list[pa.Array]:
+    """Columns of lists, one list for each of ``count`` rows; ``rows`` ascends."""
+    ends = pa.array(np.searchsorted(rows, np.arange(count + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, column) for column in columns]
 
 
 COUNTED = "struct<term: array<int>, count: array<int>, other: array<string>, times: array<int>>"
 
 
+class WordCounter:
+    """Words of a run of texts, counted all at once.
+
+    What a stretch between white space holds is looked up once, the new stretches of a run together, and
+    remembered as long as there is room.
+    """
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.places: dict[str, int] = {}  # of stretches in the two arrays
+        self.held, self.words = array("q", [0]), array("q")  # words up to each stretch's end; their numbers
+        self.others: dict[str, int] = {}  # words without a number of the vocabulary, numbered behind it
+
+    def learn(self, stretches: list[str]) -> None:
+        known, others, behind = self.number.get, self.others, len(self.number)
+        for word in WORD_OR_END.findall("\n".join(stretches).lower() + "\n"):
+            if word == "\n":
+                self.held.append(len(self.words))
+            else:
+                number = known(word)
+                self.words.append(behind + others.setdefault(word, len(others)) if number is None else number)
+        self.places.update(zip(stretches, range(len(self.places), len(self.places) + len(stretches))))
+
+    def forget(self, stretches: list[str], others: int) -> None:
+        for stretch in stretches:
+            del self.places[stretch]
+        del self.held[len(self.places) + 1 :], self.words[self.held[-1] :]
+        for word in list(self.others)[others:]:
+            del self.others[word]
+
+    def counted(self, texts: pa.Array) -> pa.StructArray:
+        stretches = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        text = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(stretches)))
+        coded = stretches.flatten().dictionary_encode()
+        values, others = coded.dictionary.to_pylist(), len(self.others)
+        new = [stretch for stretch in values if stretch not in self.places]
+        self.learn(new)
+        place = np.fromiter(map(self.places.__getitem__, values), np.int64, len(values))[coded.indices.to_numpy()]
+        ends, words = np.array(self.held), np.array(self.words)
+        held = ends[place + 1] - ends[place]
+        at = np.arange(held.sum()) + np.repeat(ends[place] - np.cumsum(held) + held, held)
+        width = len(self.number) + len(self.others) + 1
+        cells, times = np.unique(np.repeat(text, held) * width + words[at], return_counts=True)
+        text, word = np.divmod(cells, width)
+        own = word < len(self.number)
+        names = pa.array(list(self.others), pa.string()).take(pa.array(word[~own] - len(self.number)))
+        lists = parallel_lists(text[own], len(texts), pa.array(word[own], pa.int32()), pa.array(times[own], pa.int32()))
+        lists += parallel_lists(text[~own], len(texts), names, pa.array(times[~own], pa.int32()))
+        if len(self.places) > REMEMBERED:
+            self.forget(new, others)
+        return pa.StructArray.from_arrays(lists, ["term", "count", "other", "times"])
+
+
 def term_counts(number: Broadcast, text: Column) -> Column:
     """The words of a text in parallel lists: numbers and counts of the vocabulary's, others and their counts."""
 
     @F.arrow_udf(COUNTED)
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers_of = number.value
-        known: dict[str, tuple[list[int], list[str]]] = {}
+        counter = WordCounter(number.value)
         for batch in batches:
-            lists: list[list] = [[], [], [], []]
-            for text in batch.to_pylist():
-                counts: dict[int, int] = {}
-                others: dict[str, int] = {}
-                for stretch, often in Counter((text or "").split()).items():
-                    found = known.get(stretch)
-                    if found is None:
-                        words = words_of(stretch)
-                        found = [numbers_of[w] for w in words if w in numbers_of], [w for w in words if w not in numbers_of]
-                        if len(known) < REMEMBERED:
-                            known[stretch] = found
-                    for n in found[0]:
-                        counts[n] = counts.get(n, 0) + often
-                    for word in found[1]:
-                        others[word] = others.get(word, 0) + often
-                order = sorted(counts)
-                for column, values in zip(lists, (order, [counts[n] for n in order], list(others), list(others.values()))):
-                    column.append(values)
-            own = parallel_lists(*lists[:2], (pa.int32(), pa.int32())) + parallel_lists(*lists[2:], (pa.string(), pa.int32()))
-            yield pa.StructArray.from_arrays(own, ["term", "count", "other", "times"])
+            yield pa.concat_arrays([counter.counted(run) for run in runs(batch)])
 
     return counted(text)
 

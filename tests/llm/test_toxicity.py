@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,17 @@ def test_blocks_of_other_words_are_skipped(monkeypatch):
     for vector in vectors:
         index.nearest(vector)
     assert index.scored / len(vectors) < index.blocks / 2
+
+
+@pytest.mark.parametrize("remembered", [300_000, 5, 0])
+def test_words_are_counted_as_one_by_one(monkeypatch, remembered):
+    monkeypatch.setattr(t, "REMEMBERED", remembered)
+    words = ["a", "b", "ß", "straße"]
+    counter = t.WordCounter({w: n for n, w in enumerate(words)})
+    texts = [None, "", "A a-b, c c_1 c", "STRASSE straße\u00a0B\x1cb x", " \n ", "no one", "…", "a" * 50_000 + " a", "ΣΑΣ σας"]
+    rows = [row for start in (0, 4, 2, 0) for row in counter.counted(pa.array(texts[start : start + 5])).to_pylist()]
+    texts = [text for start in (0, 4, 2, 0) for text in texts[start : start + 5]]
+    for text, row in zip(texts, rows):
+        bag = Counter(t.words_of(text))
+        found = dict(zip([words[n] for n in row["term"]], row["count"])) | dict(zip(row["other"], row["times"]))
+        assert found == bag and row["term"] == sorted(row["term"]) and not set(row["other"]) & set(words)
