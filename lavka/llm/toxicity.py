@@ -54,7 +54,7 @@ TOGETHER = 256
 MOST_WORDS = 20_000_000
 #: Distance at which an example's weight is half of that of an equal text.
 SOFTEN = 0.2
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 WORD = regex.compile(r"\w+")
 WORD_OR_END = regex.compile(r"\w+|\n")
@@ -148,8 +148,12 @@ def term_counts(number: Broadcast, text: Column) -> Column:
 
 
 def outer_lengths(counted: DataFrame, total: int) -> DataFrame:
-    """``row``, ``outer``: the square of the length that words of no example add to a text's vector."""
-    each = counted.select("row", F.explode(F.arrays_zip("other", "times")).alias("w")).select("row", "w.other", "w.times")
+    """``row``, ``outer``: the square of the length that words of no example add to a text's vector.
+
+    Such words are told apart by a hash of 64 bits.
+    """
+    each = counted.select("row", F.explode(F.arrays_zip("other", "times")).alias("w"))
+    each = each.select("row", F.xxhash64("w.other").alias("other"), "w.times")
     documents = each.groupBy("other").agg(F.count("*").alias("documents"))
     weight = (1 + F.log("times")) * (1 + F.log((1 + F.lit(total)) / (1 + F.col("documents"))))
     return each.join(documents, "other").groupBy("row").agg(F.sum(weight * weight).alias("outer"))
@@ -259,8 +263,12 @@ class BlockMaxIndex:
         sums = np.bincount(self.example[at], parts, len(common))
         rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         sums = sums[rows] + common[rows]
-        hit = np.flatnonzero(sums > 0)
-        found, similar = rows[hit], np.round(np.minimum(sums[hit], 1.0), 12)
+        if len(sums) > NEAREST + 1:  # one of them may be left out; the margin is wider than the rounding
+            least = -np.partition(-sums, NEAREST)[NEAREST] - 1e-11
+            near = np.flatnonzero((sums >= least) & (sums > 0))
+        else:
+            near = np.flatnonzero(sums > 0)
+        found, similar = rows[near], np.round(np.minimum(sums[near], 1.0), 12)
         if without is not None:
             other = self.ids[found] != without
             found, similar = found[other], similar[other]
