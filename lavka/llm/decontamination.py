@@ -13,8 +13,11 @@ Candidates are verified on the words themselves: the share of the item's
 distinct shingles that occur anywhere in the document.
 
 Words are runs of ASCII letters and digits and of other characters beyond ASCII,
-general and Latin-1 punctuation excepted, in lower case. Items of fewer than five words
-have no shingle and match nothing; null and empty texts contain nothing.
+general, Latin-1 and ideographic punctuation excepted, in lower case; in scripts that put no spaces between
+words each character is one. An item of fewer than five words is one shingle of all its words, looked up by
+its hash among the document's runs of as many words and verified like any other. Items without a word
+match nothing; null and empty texts contain nothing. A repeated document or item is reported each
+time, an item of any length is searched whole, and other columns take no part.
 
 With 64 minima, an item of the least accepted containment 0.8 is missed with
 a probability below 2e-6, a whole copy below 1e-7 (half a window of the
@@ -44,7 +47,10 @@ PIECE = 500_000
 #: So many shingles have their minima taken at a time.
 CHUNK = 65_536
 
-PUNCTUATION = regex.compile(r"[\u2000-\u206f\u00a0-\u00bf]")
+PUNCTUATION = regex.compile(r"[\u2000-\u206f\u00a0-\u00bf\u3000-\u3004\u3008-\u3020\uff01-\uff0f\uff1a-\uff20]")
+#: Scripts without spaces between words.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+SINGLE = regex.compile(f"({UNSPACED})")
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 BASE = 0x9E3779B97F4A7C15
@@ -64,9 +70,11 @@ MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uin
 
 def plain(text: str | None) -> str:
     lowered = (text or "").lower()
-    if lowered.isascii() or not PUNCTUATION.search(lowered):
+    if lowered.isascii():
         return lowered
-    return PUNCTUATION.sub(" ", lowered)
+    if PUNCTUATION.search(lowered):
+        lowered = PUNCTUATION.sub(" ", lowered)
+    return SINGLE.sub(r" \1 ", lowered) if SINGLE.search(lowered) else lowered
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -113,23 +121,27 @@ def text_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
-def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the shingles of all texts, none across two texts, and their counts."""
-    sizes = np.maximum(counts - SHINGLE + 1, 0)
-    if len(words) < SHINGLE:
+    sizes = np.maximum(counts - size + 1, 0)
+    if len(words) < size:
         return words[:0], sizes
-    total = np.zeros(len(words) - SHINGLE + 1, np.uint64)
-    for n in range(SHINGLE):
+    total = np.zeros(len(words) - size + 1, np.uint64)
+    for n in range(size):
         total = total * np.uint64(BASE) + words[n : n + len(total)]
     ends = np.cumsum(counts)
     left = np.repeat(ends, counts)[: len(total)] - np.arange(len(total))
-    return mixed(total[left >= SHINGLE]), sizes
+    return mixed(total[left >= size]), sizes
 
 
-def shingles(text: str) -> set[tuple[str, ...]]:
+def all_words(text: str) -> list[str]:
+    return regex.findall("[0-9a-z\u0080-\U0010ffff]+", plain(text))
+
+
+def shingles(text: str, size: int = SHINGLE) -> set[tuple[str, ...]]:
     """The distinct shingles themselves, for verification."""
-    found = regex.findall("[0-9a-z\u0080-\U0010ffff]+", plain(text))
-    return set(zip(*(found[n:] for n in range(SHINGLE))))
+    found = all_words(text)
+    return set(zip(*(found[n:] for n in range(size))))
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -163,6 +175,16 @@ class Items:
         words, counts = text_words(texts)
         hashes, sizes = shingle_hashes(words, counts)
         ends = np.cumsum(sizes)
+        self.short: dict[int, list[int]] = {}  # items of fewer words than a shingle, by their number of words
+        for number, count in enumerate(counts.tolist()):
+            if 0 < count < SHINGLE:
+                self.short.setdefault(count, []).append(number)
+                self.shingles[number] = {tuple(all_words(texts[number]))}
+        self.short_hashes = {}
+        for size, members in self.short.items():
+            own = shingle_hashes(*text_words([texts[m] for m in members]), size)[0]
+            order = np.argsort(own, kind="stable")
+            self.short_hashes[size] = own[order], np.array(members)[order]
         distinct = [np.unique(hashes[e - s : e]) for s, e in zip(sizes, ends)]
         classes: dict[int, list[int]] = {}
         for number, found in enumerate(distinct):
@@ -208,6 +230,19 @@ class Items:
                     found.update((int(owner[at]), int(i)) for i in group.items[row][low:high])
         return found
 
+    def short_candidates(self, words: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs of text and item of few words that have the hash of a run of words in common."""
+        found: set[tuple[int, int]] = set()
+        for size, (wanted, items) in self.short_hashes.items():
+            hashes, sizes = shingle_hashes(words, counts, size)
+            first = np.searchsorted(wanted, hashes, "left")
+            last = np.searchsorted(wanted, hashes, "right")
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            hit = last > first
+            for text, low, high in {*zip(owner[hit].tolist(), first[hit].tolist(), last[hit].tolist())}:
+                found.update((text, int(i)) for i in items[low:high])
+        return found
+
     def contained(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
         """Of each text the items it contains and their verified containment."""
         found: list[list[tuple[int, float]]] = [[] for _ in texts]
@@ -227,6 +262,10 @@ class Items:
             share = len(self.shingles[item] & own[2]) / len(self.shingles[item])
             if share >= CONTAINED:
                 found[text].append((item, share))
+        for text, item in sorted(self.short_candidates(words, counts)):
+            (own_words,) = self.shingles[item]
+            if own_words in shingles(texts[text], len(own_words)):
+                found[text].append((item, 1.0))
         return found
 
 
@@ -288,17 +327,20 @@ def uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> Dat
     return docs
 
 
-ORACLE = r"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(regexp_replace(lower(text), '[\x{2000}-\x{206f}\x{a0}-\x{bf}]', ' ', 'g'),
-                  '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
-b AS (SELECT item_id AS id, regexp_extract_all(regexp_replace(lower(text), '[\x{2000}-\x{206f}\x{a0}-\x{bf}]', ' ', 'g'),
-             '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g
-       FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g
-       FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
-size AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
-met AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n FROM ds JOIN bs USING (g) GROUP BY ALL)
+_WORDS = rf"""regexp_extract_all(regexp_replace(regexp_replace(lower(text),
+    '[\x{{2000}}-\x{{206f}}\x{{a0}}-\x{{bf}}\x{{3000}}-\x{{3004}}\x{{3008}}-\x{{3020}}\x{{ff01}}-\x{{ff0f}}\x{{ff1a}}-\x{{ff20}}]', ' ', 'g'), '({UNSPACED})', ' \1 ', 'g'),
+    '[0-9a-z\x{{80}}-\x{{10ffff}}]+')"""
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id AS id, row_number() OVER () AS row, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id AS id, row_number() OVER () AS row, {_WORDS} AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), {SHINGLE}) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT id, row, k, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM (SELECT id, row, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)),
+bs AS (SELECT DISTINCT id, row, k, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM (SELECT id, row, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM b JOIN sizes ON k = least(len(w), {SHINGLE}))),
+size AS (SELECT row, count(*) AS n FROM bs GROUP BY row),
+met AS (SELECT ds.id AS doc_id, ds.row AS doc_row, bs.id AS item_id, bs.row AS item_row, count(*) AS n FROM ds JOIN bs USING (k, g) GROUP BY ALL)
 SELECT doc_id, item_id, met.n / size.n AS containment
-FROM met JOIN size ON size.id = met.item_id WHERE met.n / size.n >= 0.8
+FROM met JOIN size ON size.row = item_row WHERE met.n / size.n >= {CONTAINED}
 """

@@ -27,6 +27,8 @@ from lavka.llm.batches import pieces, runs
 from lavka.llm.stored import stored
 
 DIMENSIONS = 1024
+#: Letters from which on a text's own language scores above chance.
+TELLING_LETTERS = 60
 SEED = 20
 #: Profiles travel with every task; more languages than this are refused.
 MOST_LANGUAGES = 1000
@@ -213,11 +215,16 @@ def recognised(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     """The rows whose language is recognised, all columns.
 
     Rejected are null texts, texts without a letter, and those whose cosine with
-    the nearest language is no more than twice what random vectors have. Where
+    the nearest language is no more than twice what random vectors have. A text of fewer letters than
+    ``TELLING_LETTERS`` may score as little as that in its own language, so it stays if it has one. Where
     no language can be learned, only texts without a letter are rejected.
     """
     profiles = stored(language_profiles(docs, F.col(text), F.col(lang)), "profiles")
+    letters = F.regexp_replace(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), r"\P{L}+", "")
+    whole = docs.select(F.struct("*").alias("row"))
     if profiles.isEmpty():
-        return docs.filter(F.rlike(F.col(text), F.lit(r"\p{L}")))
-    found = docs.withColumn("_found", predicted_language(profiles, F.col(text)))
-    return found.filter(F.col("_found.score") > 2 / DIMENSIONS**0.5).select(docs.columns)
+        return whole.filter(letters != "").select("row.*")
+    found = whole.withColumn("found", predicted_language(profiles, F.col(f"row.`{text}`")))
+    near = F.col("found.score") > 2 / DIMENSIONS**0.5
+    short = (F.col("found.lang_pred") != UNKNOWN) & F.length(letters).between(1, TELLING_LETTERS - 1)
+    return found.filter(near | short).select("row.*")

@@ -1,9 +1,10 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences at ``.``, ``!``, ``?`` or ``;`` before white space. As a
-sentence may follow other lines without a full stop and may be wrapped itself,
-its lines and its ends of up to ``WRAPPED`` lines are looked at as well. Lower-cased letters
-and digits with single spaces make the normal form, which is looked up among
+A text is cut into sentences at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space and at blank
+lines; the known sentences are pieces of the public texts cut in the same way. As a
+sentence may follow other lines without a full stop and may be wrapped itself, its lines and its
+ends of several lines are looked at as well, up to as many lines as a known sentence has words. Lower-cased
+letters and digits with single spaces make the normal form, which is looked up among
 the known sentences. The identifiers found, in order, are matched against
 the rules; where several fit, the first one in the list wins.
 
@@ -33,9 +34,13 @@ SENTENCES = {
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-terms": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-free": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-free": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-either": "either version 2 of the license or at your option any later version",
+    "gpl3-either": "either version 3 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "cc-by-nc-4": "licensed under cc by nc 4 0",
     "cc-by-4": "licensed under cc by 4 0",
@@ -46,8 +51,10 @@ SENTENCES = {
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "spdx-mit": "spdx license identifier mit",
     "spdx-apache": "spdx license identifier apache 2 0",
@@ -59,13 +66,27 @@ SENTENCES = {
 RULES = [
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("MIT", ["mit-condition", "mit-warranty"]),
     ("Apache-2.0", ["apache-header", "apache-comply", "apache-basis", "apache-terms"]),
     ("Apache-2.0", ["apache-header", "apache-comply"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-details"]),
-    ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-details"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "gpl3-either", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "gpl2-either", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "gpl3-either"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "gpl2-either"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
-    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    *(
+        (name, [*before, "bsd-redistribution", "bsd-source", "bsd-binary", *more])
+        for name, more in (
+            ("BSD-3-Clause", ["bsd-endorse", "bsd-as-is"]),
+            ("BSD-3-Clause", ["bsd-endorse"]),
+            ("BSD-2-Clause", ["bsd-as-is"]),
+            ("BSD-2-Clause", []),
+        )
+        for before in (["reserved"], [])
+    ),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-licensed"]),
     ("MIT", ["spdx-mit"]),
@@ -86,19 +107,27 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 
-#: A known sentence is wrapped over so many lines at most.
-WRAPPED = 16
 #: Every known sentence has one of these; texts without any are not looked at.
 TELLING = r"(?i)licen|permi|redistribut|warrant|rights|public|compliance|copyright"
 SPACE = r"[ \t\n\f\r]+"
+#: Where texts are cut: behind a mark before white space, and at lines without letters and digits. The
+#: colon of an identifier line is none of these marks.
+NO_CUT = r"(?i)(license-identifier):"
+CUT = r"([.!?;:])" + SPACE
+BLANK = r"\n[^A-Za-z0-9\n]*\n"
 
 
-def candidates(sentence: Column) -> Column:
+def longest(sentences: dict[str, str]) -> int:
+    """The words of the longest sentence, hence the most lines that it can be wrapped over."""
+    return max(len(s.split()) for s in sentences.values())
+
+
+def candidates(sentence: Column, most: int) -> Column:
     """The lines of a sentence and its ends of several lines, with the first line's number."""
     lines = F.split(sentence, "\n")
     count = F.size(lines)
     single = F.transform(lines, lambda line, n: F.struct(n.cast("int").alias("line"), line.alias("part")))
-    sizes = F.filter(F.sequence(F.lit(2), F.lit(WRAPPED)), lambda k: k <= count)
+    sizes = F.filter(F.sequence(F.lit(2), F.greatest(F.least(F.lit(most), count), F.lit(2))), lambda k: k <= count)
     ends = F.transform(
         sizes,
         lambda k: F.struct(
@@ -112,9 +141,11 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for i, s in sentences.items()))
     mark = "\x01"
-    parts = F.split(F.regexp_replace(text, r"([.!?;])" + SPACE, "$1" + mark), mark)
+    text = F.regexp_replace(F.regexp_replace(text, NO_CUT, "$1"), BLANK, mark)
+    parts = F.split(F.regexp_replace(text, CUT, "$1" + mark), mark)
     parts = F.filter(parts, lambda s: F.rlike(s, F.lit(TELLING)))
-    tried = F.flatten(F.transform(parts, candidates))
+    most = longest(sentences)
+    tried = F.flatten(F.transform(parts, lambda part: candidates(part, most)))
 
     def identified(tried_part: Column) -> Column:
         normal = F.trim(F.regexp_replace(F.lower(tried_part["part"]), "[^a-z0-9]+", " "))
@@ -159,12 +190,12 @@ def oracle() -> str:
     names = ", ".join(f"('{k}', '{v}')" for k, v in named.items())
     return rf"""
 WITH known(id, normal) AS (VALUES {known}), names(ids, licence) AS (VALUES {names}),
-p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?;])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '{NO_CUT}', '\1', 'g'), '{BLANK}', chr(1), 'g'), '{CUT}', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
 s AS (SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS i FROM p),
 l AS (SELECT doc_id, i, string_split(sentence, chr(10)) AS lines FROM s WHERE regexp_matches(sentence, '{TELLING}')),
 c AS (SELECT doc_id, i, unnest(range(len(lines))) AS line, unnest(lines) AS part FROM l
       UNION ALL SELECT doc_id, i, len(lines) - k, array_to_string(lines[len(lines) - k + 1:], ' ')
-      FROM l, range(2, {WRAPPED + 1}) AS r(k) WHERE k <= len(lines)),
+      FROM l, range(2, {longest(SENTENCES) + 1}) AS r(k) WHERE k <= len(lines)),
 f AS (SELECT doc_id, i, line, part, id FROM c JOIN known
       ON normal = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
 q AS (SELECT doc_id, string_agg(id, ' ' ORDER BY i, line, part) || ' ' AS ids FROM f GROUP BY doc_id),

@@ -49,3 +49,25 @@ def test_odd_rows(spark, monkeypatch):
     assert again == found
     assert d.contaminations(docs, items.filter("false")).count() == 0
     assert d.contaminations(docs.filter("false"), items).count() == 0
+
+
+def test_items_of_few_words_and_without_spaces(spark):
+    texts = [
+        "What is the Capital of France, again?", "the capital, of france", "capital of Frances", "法国的首都是哪里？答案是巴黎。", "前文。请问法国的首都是哪里", "法国 首都", "เมืองหลวงของฝรั่งเศสคือ",
+        "a b c d", None, "", "yes", "x " * 70_000 + "capital of france",
+    ]
+    items = ["capital of France", "法国的首都是哪里？", "เมืองหลวงของฝรั่งเศส", "b  c", "yes!", "", "...", None, "capital of france", "法国"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.containment) for r in d.contaminations(docs, asked).collect())
+    expected = []
+    for n, text in enumerate(texts):
+        for i, item in enumerate(items):
+            words = d.all_words(item or "")
+            if words:
+                size = min(5, len(words))
+                share = d.shingles(item, size)
+                part = len(share & d.shingles(text or "", size)) / len(share)
+                expected += [(n, i, part)] if part >= d.CONTAINED else []
+    assert found == expected
+    assert {(0, 0), (1, 8), (3, 1), (4, 1), (6, 2), (7, 3), (10, 4), (11, 0), (5, 9)} <= {(n, i) for n, i, _ in found} and (2, 0, 1.0) not in found

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lavka.llm import language
+from lavka.llm import folds, language
 
 EN = "the house and the garden are near the old river where children play in the sun"
 DE = "das haus und der garten liegen nahe an dem alten fluss wo die kinder in der sonne spielen"
@@ -48,3 +48,22 @@ def test_bundles_are_sums_over_places():
 
     assert (whole[0] == bound(" ", "a", "b") + bound("a", "b", " ") + bound(" ", "c", " ")).all()
     assert not whole[1:].any() and has.tolist() == [True, False, False]
+
+
+def test_short_clean_texts_are_recognised(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = [(9001, "Avec.", "fr"), (9002, "A.", None), (9003, "12 34 !", "en"), (9004, None, "en"), (9005, "", "en"), (9006, "字" * 500, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("_found", F.lit(5)).withColumn("found", F.lit("own"))
+    kept = language.recognised(docs)
+    assert kept.columns == docs.columns
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert {9001, 9002} <= set(rows) and not {9003, 9004, 9005} & set(rows)
+    assert all(r._found == 5 and r.found == "own" for r in rows.values())
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", folds.held_out(F.col("doc_id")))
+    profiles = language.language_profiles(docs.filter("not held"), F.col("text"), F.col("lang"))
+    found = docs.filter("held and lang is not null").select("lang", language.predicted_language(profiles, F.col("text")).alias("p"))
+    right = found.filter("p.lang_pred = lang").count()
+    assert right >= 0.97 * found.count() > 100
