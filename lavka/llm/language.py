@@ -220,11 +220,13 @@ def recognised(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     no language can be learned, only texts without a letter are rejected.
     """
     profiles = stored(language_profiles(docs, F.col(text), F.col(lang)), "profiles")
-    letters = F.regexp_replace(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), r"\P{L}+", "")
-    whole = docs.select(F.struct("*").alias("row"))
+    letters = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\P{L}+", "")
     if profiles.isEmpty():
-        return whole.filter(letters != "").select("row.*")
-    found = whole.withColumn("found", predicted_language(profiles, F.col(f"row.`{text}`")))
-    near = F.col("found.score") > 2 / DIMENSIONS**0.5
-    short = (F.col("found.lang_pred") != UNKNOWN) & F.length(letters).between(1, TELLING_LETTERS - 1)
-    return found.filter(near | short).select("row.*")
+        return docs.filter(letters != "")
+    own = "found"
+    while own in docs.columns:  # a name that no column has
+        own += "_"
+    found = docs.withColumn(own, predicted_language(profiles, F.col(text)))
+    near = F.col(f"{own}.score") > 2 / DIMENSIONS**0.5
+    short = (F.col(f"{own}.lang_pred") != UNKNOWN) & F.length(letters).between(1, TELLING_LETTERS - 1)
+    return found.filter(near | short).select(docs.columns)

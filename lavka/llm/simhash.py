@@ -161,12 +161,15 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     names = classes.select(F.col("component_id").alias("key")).distinct()
     times = prints.groupBy(F.col("doc_id").alias("key")).agg((F.count("*") > 1).alias("several"))
     same = F.col("key").eqNullSafe(F.col("own"))
-    chosen = stored(names.join(times.withColumnRenamed("key", "own"), same).select("key", F.col("several") | F.col("key").isNull()), "chosen")
-    chosen = chosen.toDF("key", "several")
+    chosen = names.join(times.withColumnRenamed("key", "own"), same).select("key", (F.col("several") | F.col("key").isNull()).alias("several"))
+    chosen = stored(chosen, "chosen")
+    single = docs.join(chosen.filter("not several").select(F.col("key").alias(doc_id)), doc_id, "left_semi").select(docs.columns)
+    several = stored(chosen.filter("several"), "several")  # written by itself, so that its size is known
+    if several.isEmpty():
+        return single
     whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"))
-    single = whole.join(chosen.filter("not several"), same, "left_semi")
-    others = whole.join(chosen.filter("several"), same, "left_semi").withColumn("fp", fingerprint(F.col(f"row.`{text}`")))
+    others = whole.join(several, same, "left_semi").withColumn("fp", fingerprint(F.col(f"row.`{text}`")))
     placed = others.join(classes, "fp").filter(F.col("own").eqNullSafe(F.col("component_id")))
     order = Window.partitionBy("root").orderBy(F.xxhash64(f"row.`{text}`"), F.col("fp"))
     first = placed.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    return single.select("row.*").unionByName(first.select("row.*"))
+    return single.unionByName(first.select("row.*"))
