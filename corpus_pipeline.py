@@ -12,21 +12,26 @@ from lavka.llm.stored import stored
 from lavka.llm.text_queries import word_vocabulary
 
 
+#: Rows and bytes of a batch of texts. The stages run in the same Python workers, each of which keeps
+#: the memory that the largest batch of any stage took.
+SMALL = (200, "4m")
+
+
 def recognised_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language is not recognised."""
-    bounded_batches(spark)
+    bounded_batches(spark, *SMALL)
     return language.recognised(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every near-duplicate class."""
-    bounded_batches(spark)
+    bounded_batches(spark, *SMALL)
     return simhash.one_of_each_class(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that contain a benchmark item."""
-    bounded_batches(spark)
+    bounded_batches(spark, *SMALL)
     return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -38,7 +43,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, their number and a digest of the text they decode to."""
-    bounded_batches(spark)
+    bounded_batches(spark, *SMALL)
     path = word_vocabulary()
     coded = docs.withColumn("token_ids", bpe.encode(spark, F.col("text"), path))
     coded = coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
