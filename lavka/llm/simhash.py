@@ -163,7 +163,8 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     same = F.col("key").eqNullSafe(F.col("own"))
     chosen = names.join(times.withColumnRenamed("key", "own"), same).select("key", (F.col("several") | F.col("key").isNull()).alias("several"))
     chosen = stored(chosen, "chosen")
-    single = docs.join(chosen.filter("not several").select(F.col("key").alias(doc_id)), doc_id, "left_semi").select(docs.columns)
+    ids = chosen.filter("not several").select(F.col("key").alias(doc_id)).hint("merge")  # one plan at every size
+    single = docs.join(ids, doc_id, "left_semi").select(docs.columns)
     several = stored(chosen.filter("several"), "several")  # written by itself, so that its size is known
     if several.isEmpty():
         return single
