@@ -1,3 +1,4 @@
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -41,3 +42,27 @@ def test_odd_rows(spark):
     assert not any(key in (text or "") for _, text in out)
     assert secrets.secrets(docs.filter("false")).count() == 0
     assert secrets.without_secrets(docs.filter("false")).count() == 0
+
+
+def test_model_counts_every_text(spark):
+    docs = spark.range(2600).selectExpr("if(id = 7, 'qz', 'ab') AS text").repartition(3)
+    logs, dictionary = secrets.word_model(docs.union(spark.createDataFrame([(None,), ("",), ("Word " + "w" * 300 + "v9",)], "text string")), "text")
+    pair = lambda a, b: logs[(secrets.LETTERS.index(a) + 1) * secrets.SYMBOLS + secrets.LETTERS.index(b) + 1]
+    rest = 0.5 * secrets.SYMBOLS
+    assert pair("a", "b") == math.log(2599.5 / (2599 + rest))
+    assert pair("q", "z") == math.log(1.5 / (1 + rest))
+    assert pair("v", "9") == math.log(1.5 / (1 + rest))
+    assert dictionary == ["word"]
+
+
+def test_forest_learns_from_every_labelled_finding(spark, monkeypatch):
+    learnt = []
+
+    class Forest(secrets.RandomForestClassifier):
+        def fit(self, rows):
+            learnt.append(rows.count())
+
+    monkeypatch.setattr(secrets, "RandomForestClassifier", Forest)
+    found = spark.range(9000).selectExpr("cast(id % 2 AS double) AS label", *[f"cast(id % 7 AS double) AS {name}" for name in secrets.FEATURES])
+    secrets.trained_forest(found)
+    assert learnt == [9000]
