@@ -316,3 +316,25 @@ def test_lookup_is_pushed_to_the_scan(spark, tmp_path):
     views.goods(spark, SF).write.parquet(str(tmp_path / "goods"))
     text = plan(goods_ops.good_by_id(spark.read.parquet(str(tmp_path / "goods")), 7).select("title"))
     assert "EqualTo(good_id,7)" in text and "ReadSchema: struct<good_id:bigint,title:string>" in text
+
+
+def test_hits_go_without_texts(spark, shop):
+    from lavka.operators.tools import _numbered, _search
+
+    _, collections, vectors = shop
+    calls = spark.createDataFrame([(1, r, 0, "q", 1, 4 + r, "{}") for r in range(3)], "conv_id long, round int, call_idx int, vec_query string, flag int, k long, args string")
+    shelves = _numbered(collections)
+    found = _search(calls, shelves[tools.BRIEF_COLLECTION], vectors)
+    assert {f.name for f in found.schema.fields if f.dataType.simpleString() not in ("bigint", "int")} == set()
+    assert found.groupBy("round").count().orderBy("round").collect() == [(0, 4), (1, 5), (2, 6)]
+
+
+def test_results_are_spread_by_the_number_of_calls(spark, shop, monkeypatch):
+    monkeypatch.setattr(tools, "CALLS_PER_TASK", 5)
+    args = json.dumps({"vec_query": "q", "flag": 1, "search_limit": 40})
+    log = [(c, 1, 0, tools.PRICE_TOOL, args) for c in range(31)]
+    calls = spark.createDataFrame(log, "conv_id long, round int, call_idx int, name string, args string")
+    loop = tools.tool_loop_batch(calls, *shop)
+    rows = {r.conv_id: json.loads(r.content)["goods"] for r in loop.collect()}
+    assert sorted(rows) == list(range(31)) and all(len(g) == 15 and g == rows[0] for g in rows.values())
+    assert "conv_id#" in plan(loop) and ", 7), REPARTITION_BY_NUM" in plan(loop)
