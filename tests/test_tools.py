@@ -338,3 +338,36 @@ def test_results_are_spread_by_the_number_of_calls(spark, shop, monkeypatch):
     rows = {r.conv_id: json.loads(r.content)["goods"] for r in loop.collect()}
     assert sorted(rows) == list(range(31)) and all(len(g) == 15 and g == rows[0] for g in rows.values())
     assert "conv_id#" in plan(loop) and ", 7), REPARTITION_BY_NUM" in plan(loop)
+
+
+def test_a_page_of_positions_is_read_and_written_once(spark):
+    from pyspark.sql import Row
+
+    from lavka.streaming.ingest import FirstSeen
+
+    class State:
+        held, reads, writes = None, 0, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.reads += 1
+            return self.held
+
+        def update(self, value):
+            self.writes += 1
+            self.held = value
+
+    state, seen = State(), FirstSeen()
+    seen.init(state)
+
+    def portion(*rows):
+        rows = [Row(source="s", pos=p, content=c, corrected=k) for p, c, k in rows]
+        return [(r.pos, r.content) for r in seen.handleInputRows(("s", 0), iter(rows), None)]
+
+    assert portion(*[(p, "a", False) for p in range(1000)], (5, "b", False)) == [(p, "b" if p == 5 else "a") for p in range(1000)]
+    assert (state.reads, state.writes) == (1, 1)
+    assert portion((5, "c", False), (1 << 40, None, False), (6, "d", True), (-7, "e", True)) == [(6, "d"), (1 << 40, None)]
+    assert portion((1 << 40, "f", True), (3, "g", False)) == [(1 << 40, "f")]
+    assert (state.reads, state.writes) == (3, 2)
