@@ -184,3 +184,12 @@ def test_no_chunks_and_no_queries(spark, corpus):
     none = lexical.text_index(chunks.filter("false"))
     assert lexical.hybrid_search(queries, none).count() == 0
     assert lexical.lexical_bm25(queries.filter("false"), lexical.text_index(chunks)).count() == 0
+
+
+def test_index_of_asked_terms_ranks_as_the_whole_one(spark, corpus):
+    queries, chunks, *_ = corpus
+    terms = queries.select(F.explode(lexical.tokens(F.col("text"))).alias("term"))
+    whole, asked = lexical.text_index(chunks, block=64), lexical.text_index(chunks, block=64, terms=terms)
+    assert asked.terms.select("term").distinct().subtract(terms).count() == 0
+    assert 0 < asked.terms.count() < whole.terms.count() and asked.blocks.count() == whole.blocks.count()
+    assert sorted(map(tuple, lexical.hybrid_search(queries, asked, 5).collect())) == sorted(map(tuple, lexical.hybrid_search(queries, whole, 5).collect()))
