@@ -192,8 +192,17 @@ class Query:
     weights: np.ndarray
 
 
+def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``first``, run by run."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples as postings, with the largest weight by block."""
+    """Unit vectors of examples as postings, with the largest weight by block.
+
+    A cell is what a word has in one block. Only cells with postings are kept, so that the index grows with
+    the postings and not with words times blocks, and it is filled block by block, without a copy of all.
+    """
 
     def __init__(self, vectors: list[Query], ids: list[int], labels: list[int], terms: int):
         lead = [int(v.terms[v.weights.argmax()]) for v in vectors]
@@ -201,26 +210,38 @@ class BlockMaxIndex:
         self.scored = 0  # blocks read so far
         self.ids = np.array([ids[n] for n in order], np.int64)
         self.labels = np.array([labels[n] for n in order], np.float64)
-        blocks = max(-(-len(order) // BLOCK), 1)
-        sizes = [len(vectors[n].terms) for n in order]
-        example = np.repeat(np.arange(len(order)), sizes)
-        term = np.concatenate([vectors[n].terms for n in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[n].weights for n in order] or [np.zeros(0)])
-        share = np.bincount(term, minlength=terms) / max(len(order), 1)
-        common = np.flatnonzero(share >= COMMON)
-        self.column = np.full(terms, -1)
+        self.blocks = max(-(-len(order) // BLOCK), 1)
+        parts = [[vectors[n] for n in order[start : start + BLOCK]] for start in range(0, len(order), BLOCK)]
+        seen, cells = np.zeros(terms, np.int32), np.zeros(terms, np.int32)  # examples and blocks with each word
+        for part in parts:
+            count = np.bincount(np.concatenate([v.terms for v in part]), minlength=terms)
+            seen += count
+            cells += count > 0
+        common = np.flatnonzero(seen / max(len(order), 1) >= COMMON)
+        self.column = np.full(terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), blocks * BLOCK))
-        often = self.column[term] >= 0
-        self.dense[self.column[term[often]], example[often]] = weight[often]
-        example, term, weight = example[~often], term[~often], weight[~often]
-        by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        cell = term[by_term] * blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * blocks + 1)).astype(np.int64)
-        self.blocks = blocks
-        self.largest = np.zeros((terms, blocks))
-        np.maximum.at(self.largest, (term[by_term], self.example // BLOCK), self.weight)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        seen[common] = cells[common] = 0
+        self.cells = np.concatenate(([0], np.cumsum(cells)))  # the first cell of each word
+        self.block, self.largest = np.zeros(self.cells[-1], np.int32), np.zeros(self.cells[-1])
+        self.start = np.full(self.cells[-1] + 1, seen.sum(), np.int64)  # the first posting of each cell
+        self.example, self.weight = np.zeros(self.start[-1], np.int64), np.zeros(self.start[-1])
+        cell, free = self.cells[:-1].copy(), np.cumsum(seen) - seen  # of each word, the next to be filled
+        for block, part in enumerate(parts):
+            term, weight = (np.concatenate([getattr(v, name) for v in part]) for name in ("terms", "weights"))
+            example = np.repeat(np.arange(len(part)) + block * BLOCK, [len(v.terms) for v in part])
+            often = self.column[term] >= 0
+            self.dense[self.column[term[often]], example[often]] = weight[often]
+            by_term = np.argsort(np.where(often, terms, term), kind="stable")[: len(term) - often.sum()]
+            example, weight = example[by_term], weight[by_term]
+            held, first, size = np.unique(term[by_term], return_index=True, return_counts=True)
+            if len(held):
+                place = places(free[held], size)
+                self.example[place], self.weight[place] = example, weight
+                self.block[cell[held]], self.start[cell[held]] = block, free[held]
+                self.largest[cell[held]] = np.maximum.reduceat(weight, first)
+            cell[held] += 1
+            free[held] += size
 
     def common(self, queries: list[Query]) -> np.ndarray:
         """The share that common words have in the similarity, by query and example."""
@@ -238,37 +259,41 @@ class BlockMaxIndex:
         common = self.common([query])[0] if common is None else common
         rare = self.column[query.terms] < 0
         terms, weights = query.terms[rare], query.weights[rare]
-        bound = common.reshape(self.blocks, -1).max(1) + weights @ self.largest[terms]
+        size = self.cells[terms + 1] - self.cells[terms]
+        cells, weights = places(self.cells[terms], size), np.repeat(weights, size)
+        bound = common.reshape(self.blocks, -1).max(1)
+        bound = bound + np.bincount(self.block[cells], weights * self.largest[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, similar = self.of_blocks(order[:FIRST], terms, weights, common, without)
+        found, similar = self.of_blocks(order[:FIRST], cells, weights, common, without)
         left = order[FIRST:]
         if len(found) == NEAREST:
             left = left[bound[left] >= similar[-1] - 1e-12]
         if len(left):
-            more, near = self.of_blocks(left, terms, weights, common, without)
+            more, near = self.of_blocks(left, cells, weights, common, without)
             found, similar = self.best(np.concatenate((found, more)), np.concatenate((similar, near)))
         return found, similar
 
     def of_blocks(
-        self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: np.ndarray, without: int | None
+        self, blocks: np.ndarray, cells: np.ndarray, weights: np.ndarray, common: np.ndarray, without: int | None
     ) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples of some blocks, from the postings of those only."""
+        """The nearest examples of some blocks, from those only of the query's cells, with its weight for each cell."""
         self.scored += len(blocks)
-        cell = (terms[:, None] * self.blocks + blocks).ravel()
-        first = self.start[cell]
-        size = self.start[cell + 1] - first
-        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        parts = np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at]
-        sums = np.bincount(self.example[at], parts, len(common))
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        sums = sums[rows] + common[rows]
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        wanted = wanted[self.block[cells]]
+        cells, weights = cells[wanted], weights[wanted]
+        size = self.start[cells + 1] - self.start[cells]
+        at = places(self.start[cells], size)
+        sums = np.bincount(self.example[at], np.repeat(weights, size) * self.weight[at], len(common))
+        sums = (sums.reshape(self.blocks, -1)[blocks] + common.reshape(self.blocks, -1)[blocks]).ravel()
         if len(sums) > NEAREST + 1:  # one of them may be left out; the margin is wider than the rounding
             least = -np.partition(-sums, NEAREST)[NEAREST] - 1e-11
             near = np.flatnonzero((sums >= least) & (sums > 0))
         else:
             near = np.flatnonzero(sums > 0)
-        found, similar = rows[near], np.round(np.minimum(sums[near], 1.0), 12)
+        found = blocks[near // BLOCK] * BLOCK + near % BLOCK
+        similar = np.round(np.minimum(sums[near], 1.0), 12)
         if without is not None:
             other = self.ids[found] != without
             found, similar = found[other], similar[other]
@@ -333,7 +358,7 @@ class Model:
         """The direction and the length of the examples' words in a text."""
         weights = (1 + np.log(counts)) * self.weight[terms]
         length = float(np.linalg.norm(weights))
-        return Query(terms.astype(np.int64), weights / length), length
+        return Query(terms, weights / length), length
 
     def nearest(self, rows: Iterable, without: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float] | None]:
         """The nearest examples of each row of terms and counts by the cosine of the examples'

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -152,6 +153,19 @@ def test_blocks_of_other_words_are_skipped(monkeypatch):
     assert index.scored / len(vectors) < index.blocks / 2
 
 
+def test_index_grows_with_postings_not_with_words_times_blocks(monkeypatch):
+    monkeypatch.setattr(t, "BLOCK", 8)
+    vectors = [t.Query(np.arange(20) + 20 * n, np.full(20, 20**-0.5)) for n in range(512)]
+    tracemalloc.start()
+    index = t.BlockMaxIndex(vectors, list(range(512)), [n % 2 for n in range(512)], 20 * 512)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.blocks == 64 and most < 200 * 20 * 512  # bytes for each posting
+    for n in (0, 7, 511):
+        found, similar = index.nearest(vectors[n])
+        assert index.ids[found].tolist() == [n] and similar == pytest.approx([1.0])
+
+
 @pytest.mark.parametrize("remembered", [300_000, 5, 0])
 def test_words_are_counted_as_one_by_one(monkeypatch, remembered):
     monkeypatch.setattr(t, "REMEMBERED", remembered)
