@@ -48,15 +48,15 @@ def goods_chunk_text(goods: DataFrame) -> DataFrame:
     return goods.withColumn("content", chunk_text(F.col("name"), F.col("unit"), F.col("price")))
 
 
-def goods_chunk_with_id(goods: DataFrame, with_characteristics: bool = True) -> DataFrame:
-    """(good_id, title, unit, price, characteristics) to (id, content), the text
+def goods_chunk_with_id(goods: DataFrame, with_characteristics: bool = True, *kept: str) -> DataFrame:
+    """(good_id, title, unit, price, characteristics, ...) to (id, content, the columns to be kept), the text
     starting ``ID <n> ``."""
     name = F.col("title")
     if with_characteristics:
         name = F.concat(name, F.lit(". "), null_to_text(F.col("characteristics")))
     text = chunk_text(name, F.col("unit"), F.col("price"))
     return goods.select(
-        F.col("good_id").alias("id"), F.concat(F.lit(ID_PREFIX), F.col("good_id"), F.lit(" "), text).alias("content")
+        F.col("good_id").alias("id"), F.concat(F.lit(ID_PREFIX), F.col("good_id"), F.lit(" "), text).alias("content"), *kept
     )
 
 

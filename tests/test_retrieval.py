@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lavka.operators import lexical, ranking
+from lavka.operators import lexical, ranking, scoring
+from lavka.operators.scoring import BestHits, VectorScores
 from lavka.plans import views
 
 
@@ -74,6 +76,68 @@ def test_ten_blocks_are_one_scan(vector_tables, monkeypatch):
     assert any(x.startswith("Union") for x in operators(split)) and found(split) == brute(c, q, ks)
 
 
+def test_many_queries_are_dealt_and_each_searched_once(vector_tables, monkeypatch):
+    """Tasks read queries and have the corpus at hand: no list of a query is held by every task of the corpus."""
+    corpus, queries, c, q, ks = vector_tables
+    monkeypatch.setattr(ranking, "DEALT_HITS", 100)
+    monkeypatch.setattr(ranking, "HIT_BYTES", 1000)
+    monkeypatch.setattr(ranking, "TASK_HITS", 150)
+    scored = ranking.deal_queries(ranking._requests(queries, "k"), corpus, VectorScores, BestHits)
+    rows = [(r.query_id, r.id) for r in scored.collect()]
+    assert len(rows) == len(set(rows)) == sum(ks)  # before any merging
+    assert found(ranking.vector_topk_batch(queries, corpus, "k")) == brute(c, q, ks)
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(ranking, "SCAN_BYTES", 12_000)  # a corpus that no task holds at once is passed in parts
+    split = ranking.vector_topk_batch(queries, corpus, "k")
+    assert any(x.startswith("Union") for x in operators(split)) and found(split) == brute(c, q, ks)
+    twice = ranking.vector_topk_batch(queries.union(queries), corpus, "k")
+    monkeypatch.setattr(ranking, "DEALT_HITS", 10**9)
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, ranking.vector_topk_batch(queries.union(queries), corpus, "k").collect()))
+
+
+def as_lists(rows):
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate(rows).astype(np.float32))
+
+
+@pytest.mark.parametrize("cells, rows, waiting, dense", [(1 << 21, 1 << 13, 1 << 18, 32), (600, 50, 9, 32), (4000, 301, 100, 1), (4000, 301, 100, 10**9)])
+def test_best_pairs_by_single_precision_are_exact(monkeypatch, cells, rows, waiting, dense):
+    """Vectors a few units of single precision apart, copies, several lengths, vectors without direction."""
+    for name, value in (("MAX_CELLS", cells), ("ROWS", rows), ("WAITING", waiting), ("DENSE", dense)):
+        monkeypatch.setattr(scoring, name, value)
+    rng = np.random.default_rng(11)
+    near = np.ones(16) + rng.normal(size=(900, 16)) * 2e-3
+    near[200:500] = near[3]
+    vectors = [*near, *rng.normal(size=(300, 16)), *rng.normal(size=(40, 5)), np.zeros(16), np.full(16, np.nan), *near[:100]]
+    vectors = [np.asarray(v, np.float32) for v in vectors]
+    ids = rng.permutation(len(vectors))
+    asked = [*(np.float32(v) for v in near[:20]), np.float32(near[3]), *(np.float32(v) for v in rng.normal(size=(9, 5))), np.zeros(16, np.float32)]
+    ks = np.array([1 + i * i for i in range(len(asked))])
+    expected = set()
+    for n, (q, k) in enumerate(zip(asked, ks)):
+        q = q.astype(float)
+        scored = [(-round(float(v.astype(float) @ q) / np.linalg.norm(v.astype(float)) / np.linalg.norm(q), 6), i) for v, i in zip(vectors, ids) if len(v) == len(q) and v.any() and q.any() and not np.isnan(v).any()]
+        expected |= {(n, i, -s) for s, i in sorted(scored)[:k]}
+    queries = pa.table({"query_id": np.arange(len(asked)), "qvec": as_lists(asked), "k": ks})
+    corpus = pa.table({"id": ids, "embedding": as_lists(vectors)})
+    schema = pa.schema([("query_id", pa.int64()), *scoring.BestHits.columns.items()])
+
+    class Sent:
+        def __init__(self, table):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            self.value = sink.getvalue().to_pybytes()
+
+    ways = (
+        scoring.score_blocks([Sent(queries)], iter(corpus.to_batches(max_chunksize=333)), VectorScores, BestHits, schema),
+        scoring.score_queries([Sent(corpus.slice(0, 500)), Sent(corpus.slice(500))], iter(queries.to_batches(max_chunksize=17)), VectorScores, BestHits, schema),
+    )
+    for way in ways:
+        hits = [(r["query_id"], r["id"], r["score"]) for batch in way for r in batch.to_pylist()]
+        assert len(hits) == len(expected)
+        assert {h[:2] for h in hits} == {e[:2] for e in expected} and np.allclose([h[2] for h in sorted(hits)], [e[2] for e in sorted(expected)], atol=1e-9)
+
+
 def test_stats_count_every_pair(vector_tables):
     corpus, queries, c, q, _ = vector_tables
     for bounds in ({}, {"block_queries": 6}):
