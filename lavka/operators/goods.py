@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lavka.functions.text import (
     CODE_LABEL,
@@ -34,6 +35,9 @@ BAND, HALF_BAND = 15, 7
 LOOKUP_FOLDERS = 31  # folders of goods stored for look-ups; more of them leave less to read for few ids
 NAMED_IDS = 1000  # ids that are handed to the files by name
 SENT_BYTES = 8 << 20  # stored size of goods that are sent to every task of the requests
+SIFTED_IDS = 4_000_000  # ids whose hashes are sent to every task of the goods,
+BITS_PER_ID = 16  # so many bits for each; of 16 goods that nobody asks for about one passes
+PAGE_BITS = 1 << 15  # bits of one bitmap, as Spark's functions lay them out
 
 
 def chunk_text(name: Column, unit: Column, price: Column) -> Column:
@@ -200,6 +204,23 @@ def goods_of_ids(ids: DataFrame, goods: GoodsLookup) -> DataFrame:
     return rows.filter(within).join(ids, "good_id", "left_semi").drop("folder")
 
 
+def sifted(goods: DataFrame, ids: DataFrame) -> DataFrame:
+    """Goods without most of those whose ``good_id`` is not among ``ids``, by a bit for each hash of an id. As it is
+    a condition on the id alone, Spark applies it to every table that the goods are joined from by their id, so
+    texts nobody asks for are dropped where they are read. Too many ids to be sent leave the goods as they are."""
+    count = ids.count()
+    if not count or count > SIFTED_IDS or goods.schema["good_id"].dataType != LongType() or ids.schema["good_id"].dataType != LongType():
+        return goods
+    pages = -(-count * BITS_PER_ID // PAGE_BITS)
+    at = F.pmod(F.xxhash64("good_id"), F.lit(pages * PAGE_BITS))
+    bit = at.bitwiseAND(F.lit(PAGE_BITS - 1))
+    held = ids.groupBy(F.shiftright(at, 15).cast("int").alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    by_page = F.map_from_entries(F.collect_list(F.struct("page", "bits")))
+    known = held.agg(F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda page: by_page[page]).alias("known")).scalar()
+    byte = F.substring(F.get(known, F.shiftright(at, 15).cast("int")), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    return goods.filter(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
+
+
 def descriptions_by_ids(requests: DataFrame, goods: DataFrame | GoodsLookup) -> DataFrame:
     """(request_id, ids array<bigint>) to one row per id in the given order; an
     unknown id keeps its place with an empty text.
@@ -213,7 +234,7 @@ def descriptions_by_ids(requests: DataFrame, goods: DataFrame | GoodsLookup) ->
     """
     asked = requests.select("request_id", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("pos", "good_id"))
     ids = stored(asked.select("good_id").filter("good_id is not null").distinct(), "asked-ids")
-    found = goods_of_ids(ids, goods) if isinstance(goods, GoodsLookup) else goods.join(ids, "good_id", "left_semi")
+    found = goods_of_ids(ids, goods) if isinstance(goods, GoodsLookup) else sifted(goods, ids).join(ids, "good_id", "left_semi")
     needed = _priced_as_text(found).select(
         "good_id",
         "title",

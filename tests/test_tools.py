@@ -266,6 +266,23 @@ def test_descriptions_by_either_way(spark, tmp_path, monkeypatch, sent):
         assert "Exchange hashpartitioning" not in plan(final)  # requests stay where they are
 
 
+@pytest.mark.parametrize("bits", [16, 600])  # one page of bits and several
+def test_goods_are_sifted_before_their_join(spark, monkeypatch, bits):
+    """Texts nobody asks for are dropped at their own table; every good that is asked for stays."""
+    monkeypatch.setattr(goods_ops, "BITS_PER_ID", bits)
+    shelf = spark.range(20_000).selectExpr("if(id = 5, null, id) AS good_id", "concat('t', id) AS title")
+    texts = spark.range(0, 30_000, 2).selectExpr("id AS good_id", "repeat('d', 50) AS description")
+    goods = shelf.join(texts, "good_id", "left_outer")
+    ids = spark.createDataFrame([(i * i,) for i in range(130)] + [(-7,), (1 << 62,)], "good_id long")
+    few = goods_ops.sifted(goods, ids)
+    assert few.count() < 2000
+    asked = few.join(ids, "good_id", "left_semi")
+    assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, goods.join(ids, "good_id", "left_semi").collect()))
+    optimized = few._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in optimized.splitlines() if "Filter" in line and "getbit" in line]) == 2
+    assert goods_ops.sifted(goods.limit(9), ids.filter("good_id > 9 and good_id < 12")).count() == 9  # no id, nothing to tell
+
+
 def test_equal_rows_of_a_hot_key_part(spark, tmp_path):
     """300,000 equal requests: every part of the join holds its share of them and no more."""
     many = spark.range(300_000).select(F.lit("same").alias("cat"), F.lit(1).alias("request_id"))
